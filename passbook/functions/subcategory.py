@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passbook.functions.text import col, squash, squash_word
+from passbook.functions.text import col, squash, squash_word, words_in
 from passbook.vocab import subcategories as S
 
 SHORT = 5  # at or below this squashed length a pattern must be a whole token
@@ -24,42 +24,57 @@ def tokens(text: Column) -> Column:
     )
 
 
-def _rank(entries: list[S.Sub]) -> list[tuple]:
-    """(entry, squashed pattern) pairs, best score first; the first hit decides."""
-    pairs = [
-        (e, squash_word(p), at)
-        for at, e in enumerate(entries)
-        if e.ceiling is None
-        for p in e.patterns
-    ]
-    return sorted(pairs, key=lambda x: (-x[0].priority, -len(x[1]), x[2]))
+def _rank(entries: list[S.Sub]) -> list[tuple[S.Sub, str]]:
+    """(entry, squashed pattern) pairs, best score first; the first hit decides.
 
+    A size line with wording of its own is taken outright, so its pairs lead.
+    """
+    pairs = [(e, squash_word(p), at) for at, e in enumerate(entries) for p in e.patterns]
+    key = lambda x: (x[0].ceiling is None, -x[0].priority, -len(x[1]), x[2])
+    return [(e, p) for e, p, _ in sorted(pairs, key=key)]
 
-def _found(pattern: str) -> Column:
-    if len(pattern) <= SHORT:
-        return F.array_contains("__tok", pattern)
-    return F.col("__hay").contains(pattern)
 
+def _side(entries: list[S.Sub]) -> tuple[Column, Column]:
+    """(best named line as a struct or null, size-only line or null) for one side."""
+    ranked = _rank(entries)
+    words = list(dict.fromkeys(p for _, p in ranked))
+    long = [w for w in words if len(w) > SHORT]
+    short = F.array(*[F.lit(w) for w in words if len(w) <= SHORT])
+    long_words = F.array(*[F.lit(w) for w in long])
+    found = F.concat(
+        F.array_intersect(F.col("__tok"), short),
+        F.transform(words_in(F.col("__hay"), long), lambda i: F.get(long_words, i)),
+    )
+    places = F.create_map(
+        *[
+            x
+            for w in words
+            for x in (F.lit(w), F.array(*[F.lit(i) for i, (_, p) in enumerate(ranked) if p == w]))
+        ]
+    )
+    lines = F.array(
+        *[
+            F.struct(
+                F.lit(e.name).alias("name"),
+                F.lit(e.priority).alias("pri"),
+                F.array(*[F.lit(t) for t in e.tags]).cast("array<string>").alias("tags"),
+            )
+            for e, _ in ranked
+        ]
+    )
 
-def _side(entries: list[S.Sub]) -> tuple[Column, Column, Column]:
-    """(outright name, first matching named line, size-only line) for one side."""
-    ceilings = [e for e in entries if e.ceiling is not None]
-    outright = [
-        F.when(_found(squash_word(p)), F.lit(e.name)) for e in ceilings for p in e.patterns
-    ]
-    ranked = []
-    for e, p, _ in _rank(entries):
-        cond = _found(p)
-        if e.tags:
-            cond = F.col("category").isin(e.tags) & cond
-        ranked.append(
-            F.when(cond, F.struct(F.lit(e.name).alias("name"), F.lit(e.priority).alias("pri")))
-        )
+    def allowed(i: Column) -> Column:
+        tags = F.get(lines, i)["tags"]
+        return (F.size(tags) == 0) | F.array_contains(tags, F.col("category"))
+
+    hits = F.flatten(F.transform(found, lambda w: F.element_at(places, w)))
+    best = F.get(lines, F.array_min(F.filter(hits, allowed)))
     sized = [
-        F.when(F.abs("amount") < e.ceiling * 100, F.lit(e.name)) for e in reversed(ceilings)
+        F.when(F.abs("amount") < e.ceiling * 100, F.lit(e.name))
+        for e in reversed(entries)
+        if e.ceiling is not None
     ]
-    none = F.lit(None).cast("string")
-    return F.coalesce(*outright, none), F.coalesce(*ranked), F.coalesce(*sized, none)
+    return best, F.coalesce(*sized, F.lit(None).cast("string"))
 
 
 def with_subcategory(
@@ -75,23 +90,18 @@ def with_subcategory(
     df = df.withColumn("__txt", text)
     df = df.withColumn("__hay", squash("__txt")).withColumn("__tok", tokens(F.col("__txt")))
     is_credit = credit_side()
-    names = {}
-    for side, entries in (("c", credit or S.CREDIT), ("d", debit or S.DEBIT)):
-        names[side] = _side(entries)
-    (co, cn, cs), (do, dn, ds) = names["c"], names["d"]
+    (best_c, sized_c), (best_d, sized_d) = _side(credit or S.CREDIT), _side(debit or S.DEBIT)
     df = df.withColumn("__cr", is_credit)
     cr = F.col("__cr")
-    df = df.withColumn("__best", F.when(cr, cn).otherwise(dn))
-    outright = F.when(cr, co).otherwise(do)
-    sized = F.when(cr, cs).otherwise(ds)
+    df = df.withColumn("__best", F.when(cr, best_c).otherwise(best_d))
+    sized = F.when(cr, sized_c).otherwise(sized_d)
     default = F.coalesce(
         *[F.when(F.col("category") == t, F.lit(n)) for t, n in S.DEFAULT_BY_TAG.items()], F.lit("")
     )
     forced = F.expr(f"nullif({override}, '')") if override else F.lit(None).cast("string")
-    small = F.when(F.col("__best").isNull() | (F.col("__best.pri") < 0), sized)
-    return df.select(
-        *keep, F.coalesce(forced, outright, small, F.col("__best.name"), default).alias(out)
-    )
+    generic = F.col("__best").isNull() | (F.col("__best.pri") < 0)
+    small = F.when(generic, sized)
+    return df.select(*keep, F.coalesce(forced, small, F.col("__best.name"), default).alias(out))
 
 
 def group_of(name: Column | str) -> Column:

@@ -28,12 +28,50 @@ def literal_any(words: list[str], prefix: str = "") -> str:
 
 
 def contains_any(c: Column, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(k) for k in keys], F.lit(False))
+    """Substring tests joined by OR: far cheaper per row than one wide regex."""
+    return reduce(lambda a, b: a | b, [c.contains(k) for k in keys])
+
+
+def gated_hit(upper: Column, text: Column, pattern: str, gate: str) -> Column:
+    """``hit`` behind a substring gate.
+
+    ``gate`` lists upper-case literals (separated by |) one of which every match of the
+    pattern contains, so rows without any of them skip the regex.
+    """
+    return contains_any(upper, gate.split("|")) & hit(text, pattern)
+
+
+def _prefix_tree(words: list[str]) -> str:
+    """One regex for many words that reads each shared prefix once, longest word first."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    arms = [re.escape(h) + _prefix_tree(rest) for h, rest in heads.items()]
+    if not arms:
+        return ""
+    body = arms[0] if len(arms) == 1 and "" not in words else "(?:" + "|".join(arms) + ")"
+    return body + "?" if "" in words else body
+
+
+def words_in(c: Column, words: list[str]) -> Column:
+    """Positions (in ``words``) of every word contained in the text, as an array.
+
+    The look-ahead yields the longest word at each place of the text; words that are a
+    prefix of it are there as well, so each find expands to its contained words.
+    """
+    inside = {w: [i for i, x in enumerate(words) if w.startswith(x)] for w in words}
+    lookup = F.create_map(
+        *[x for w, at in inside.items() for x in (F.lit(w), F.array(*[F.lit(i) for i in at]))]
+    )
+    finds = F.regexp_extract_all(c, F.lit(f"(?=({_prefix_tree(words)}))"), 1)
+    return F.flatten(F.transform(F.array_distinct(finds), lambda w: F.element_at(lookup, w)))
 
 
 def first_listed(c: Column, keys: dict[str, str]) -> Column:
     """Value of the first key (dict order) contained in the text, else null."""
-    return F.coalesce(*[F.when(c.contains(k), F.lit(v)) for k, v in keys.items()])
+    pick = F.coalesce(*[F.when(c.contains(k), F.lit(v)) for k, v in keys.items()])
+    return F.when(contains_any(c, list(keys)), pick)
 
 
 def one_line(c: Column | str) -> Column:

@@ -7,16 +7,18 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passbook.functions import category as C
 from passbook.functions.narration import with_narration
 from passbook.functions.party import bank_from_code
 from passbook.functions.subcategory import credit_side, with_subcategory
-from passbook.functions.text import hit, squash
+from passbook.functions.text import gated_hit, hit, squash
 from passbook.operators.ordered import with_running
 from passbook.session import small_side
 from passbook.vocab import keywords as K
 
+NOT_EMI_GATE = "RENT|ADVANCE|DRIVER|SALARY|WAGE|HOUSE|MAINTEN"
 ORDER = ["txn_date", "file_idx", "row_seq"]
 
 
@@ -33,7 +35,8 @@ def recurring_series(df: DataFrame) -> DataFrame:
     month = (F.year("txn_date") * 12 + F.month("txn_date")).alias("month")
     debits = df.filter(F.col("amount") < 0).select(
         "acct", solid_party().alias("solid"), "amount", month, "mode", "party", *ORDER,
-        F.dayofmonth("txn_date").alias("day"), hit("description", C.NOT_EMI).alias("other_use"),
+        F.dayofmonth("txn_date").alias("day"),
+        gated_hit(F.upper("description"), F.col("description"), C.NOT_EMI, NOT_EMI_GATE).alias("other_use"),
     )
     monthly = debits.groupBy("acct", "solid", "amount", "month").agg(
         F.count(F.lit(1)).alias("n"),
@@ -84,13 +87,20 @@ def with_recurrence(df: DataFrame) -> DataFrame:
 
 
 def with_lender(df: DataFrame, lenders: list[str] | None = None) -> DataFrame:
-    """Lender named in the bank-printed part of the narration (``lender``, nullable)."""
-    df = with_narration(df, out="__narr")
-    structured = C.lender_in("__narr.structured", lenders)
+    """Lender named in the bank-printed part of the narration (``lender``, nullable).
+
+    Only rows that print a lender's name anywhere are parsed into parts.
+    """
+    keep = [c for c in df.columns if c != "lender"]
+    df = df.withColumn("__any", C.lender_in("description", lenders).isNotNull())
+    df = with_narration(df, out="__narr", needed=F.col("__any"))
     shouted = ~F.col("__narr.remark").rlike("[a-z]") & (F.col("__narr.remark") != "")
-    found = F.coalesce(structured, F.when(shouted, C.lender_in("__narr.remark", lenders)))
+    found = F.coalesce(
+        C.lender_in("__narr.structured", lenders),
+        F.when(shouted, C.lender_in("__narr.remark", lenders)),
+    )
     fee_row = F.col("description").rlike(r"(?:^|[\s/-])CHG[/\s-]")
-    return df.withColumn("lender", F.when(~fee_row, found)).drop("__narr")
+    return df.select(*keep, F.when(F.col("__any") & ~fee_row, found).alias("lender"))
 
 
 def holder_stems(holder: Column) -> Column:
@@ -99,7 +109,7 @@ def holder_stems(holder: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 5) & ~w.isin(K.LEGAL_FORM))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def own_name(key: pd.Series, stems: pd.Series) -> pd.Series:
     """Is the squashed party close to the head of a holder word? Null keys are skipped."""
 
@@ -127,15 +137,24 @@ def tag_rows(
     df = df.withColumn("party", F.when(F.col("lender").isNotNull() & weak, F.col("lender")).otherwise(F.col("party")))
     df = df.withColumn("__cr", credit_side())
     d, mode, credit = F.col("description"), F.col("mode"), F.col("__cr")
-    df = df.withColumn("__tag", C.rule_tag(d, mode, credit, F.col("lender"), F.col("rec_nach")))
+    df = df.withColumn("__up", F.upper("description")).withColumn("__named", squash("description"))
+    up = F.col("__up")
+    df = df.withColumn("__tier", C.rule_tag(d, up, F.col("__named"), mode, credit, F.col("lender")))
+    tier, mandate = F.col("__tier"), F.col("__tier") == C.MANDATE_TIER
     app = squash("party").isin(K.PAYMENT_APPS)
-    bank = F.when(C.instalment_tier(d, mode, credit, F.col("__tag")) & ((F.col("party") == "") | app), bank_from_code(d))
-    df = df.withColumn("party", F.coalesce(F.expr("nullif(party, '')"), F.lit("")))
-    df = df.withColumn("party", F.coalesce(F.when(bank != "", bank), F.col("party")))
-    by_mandate = (F.col("__tag") == K.EMI) & F.col("rec_nach") & (
-        C.rule_tag(d, mode, credit, F.col("lender"), F.lit(False)) == K.ECS
+    bank = F.when(
+        (tier == C.INSTALMENT_TIER) & ((F.coalesce("party", F.lit("")) == "") | app), bank_from_code(d)
+    )
+    df = df.withColumn("__bank", bank)
+    df = df.withColumn("party", F.coalesce(F.expr("nullif(__bank, '')"), F.col("party"), F.lit("")))
+    df = df.withColumn(
+        "__tag",
+        F.when(mandate, F.when(F.col("rec_nach"), K.EMI).otherwise(K.ECS))
+        .when(tier == C.INSTALMENT_TIER, K.EMI)
+        .otherwise(tier),
     )
-    df = df.withColumn("__src", F.when(by_mandate, "recurrence").otherwise("rule"))
+    by_series = mandate & F.col("rec_nach")
+    df = df.withColumn("__src", F.when(by_series, "recurrence").otherwise("rule"))
     df = df.withColumn("__solid", solid_party())
     if dictionary is not None:
         look = dictionary.select(
@@ -153,9 +172,9 @@ def tag_rows(
     for r in names:
         is_kin = is_kin | solid.contains(r) | F.lit(r).contains(solid)
     is_kin = is_kin & (solid != "")
-    own = hit(d, C.any_of(C.SELF_TRANSFER))
+    own = gated_hit(up, d, C.any_of(C.SELF_TRANSFER), "SELF|OWN|FAMILY")
     open_row = F.col("__tag").isNull() | F.col("__tag").isin(K.REGULAR_IN, K.REGULAR_OUT)
-    open_row = open_row & ~is_kin & ~hit(d, C.THIRD_PARTY_CHANNEL)
+    open_row = open_row & ~is_kin & ~gated_hit(up, d, C.THIRD_PARTY_CHANNEL, "TPT")
     if holder:
         probe = open_row & hit(d, C.OWN_CHANNEL)
         df = df.withColumn("__own", own_name(F.when(probe, squash("party")), holder_stems(F.col(holder))))
