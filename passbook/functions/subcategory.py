@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passbook.functions.text import col, squash, squash_word, words_in
+from passbook.functions.text import (
+    col, sql_text, squash, squash_word, text_array, text_map, words_in,
+)
 from passbook.vocab import subcategories as S
 
 SHORT = 5  # at or below this squashed length a pattern must be a whole token
@@ -39,28 +41,25 @@ def _side(entries: list[S.Sub]) -> tuple[Column, Column]:
     ranked = _rank(entries)
     words = list(dict.fromkeys(p for _, p in ranked))
     long = [w for w in words if len(w) > SHORT]
-    short = F.array(*[F.lit(w) for w in words if len(w) <= SHORT])
-    long_words = F.array(*[F.lit(w) for w in long])
+    short = text_array([w for w in words if len(w) <= SHORT])
+    long_words = text_array(long)
     found = F.concat(
         F.array_intersect(F.col("__tok"), short),
         F.transform(words_in(F.col("__hay"), long), lambda i: F.get(long_words, i)),
     )
-    places = F.create_map(
-        *[
-            x
-            for w in words
-            for x in (F.lit(w), F.array(*[F.lit(i) for i, (_, p) in enumerate(ranked) if p == w]))
-        ]
+    at: dict[str, list[int]] = {w: [] for w in words}
+    for i, (_, p) in enumerate(ranked):
+        at[p].append(i)
+    places = F.expr(
+        "map(" + ", ".join(f"{sql_text(w)}, array({', '.join(map(str, i))})" for w, i in at.items()) + ")"
     )
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(e.name).alias("name"),
-                F.lit(e.priority).alias("pri"),
-                F.array(*[F.lit(t) for t in e.tags]).cast("array<string>").alias("tags"),
-            )
-            for e, _ in ranked
-        ]
+    line = "named_struct('name', {}, 'pri', {}, 'tags', cast(array({}) as array<string>))"
+    lines = F.expr(
+        "array("
+        + ", ".join(
+            line.format(sql_text(e.name), e.priority, ", ".join(map(sql_text, e.tags))) for e, _ in ranked
+        )
+        + ")"
     )
 
     def allowed(i: Column) -> Column:
@@ -95,9 +94,7 @@ def with_subcategory(
     cr = F.col("__cr")
     df = df.withColumn("__best", F.when(cr, best_c).otherwise(best_d))
     sized = F.when(cr, sized_c).otherwise(sized_d)
-    default = F.coalesce(
-        *[F.when(F.col("category") == t, F.lit(n)) for t, n in S.DEFAULT_BY_TAG.items()], F.lit("")
-    )
+    default = F.coalesce(F.element_at(text_map(S.DEFAULT_BY_TAG), F.col("category")), F.lit(""))
     forced = F.expr(f"nullif({override}, '')") if override else F.lit(None).cast("string")
     generic = F.col("__best").isNull() | (F.col("__best.pri") < 0)
     small = F.when(generic, sized)

@@ -9,7 +9,6 @@ from passbook.plans.oracle_base import TAGGED, with_ctes
 from passbook.plans.q_metrics import DAILY, PARTY, PKEY, TREND, days
 from passbook.plans.registry import query
 from passbook.sources import statements as S
-from passbook.sources import tables
 from passbook.vocab import keywords as K
 
 MONTHLY = DAILY + """,
@@ -189,7 +188,7 @@ def credit_sheet(spark, sf):
 SELECT DISTINCT acct, file_idx, CASE acct % 5 WHEN 1 THEN 'Savings' WHEN 2 THEN 'Current' WHEN 3 THEN 'Overdraft / Cash Credit'
   WHEN 4 THEN 'Overdraft / Cash Credit' ELSE '' END AS facility FROM ledger"""))
 def facility(spark, sf):
-    return S.headers(tables.ledger(spark, sf)).select("acct", "file_idx", R.facility(F.col("layout")).alias("facility"))
+    return S.headers(stages.ledger(spark, sf)).select("acct", "file_idx", R.facility(F.col("layout")).alias("facility"))
 
 
 @query("party_groups", with_ctes("SELECT acct, pkey, label FROM labels", DAILY))

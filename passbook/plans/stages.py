@@ -23,9 +23,14 @@ def row_parties(df: DataFrame) -> DataFrame:
     return finish_party(with_party(df.withColumn("mode", detect_mode("description"))))
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived ledger as a stage table, for plans that read it more than once."""
+    return staged(spark, sf_dir, "ledger", lambda: tables.ledger(spark, sf_dir))
+
+
 def build_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger with mode, party, tag, confidence and sub-category (no stage table)."""
-    named = stage(row_parties(tables.ledger(spark, sf_dir)), "named")
+    named = stage(row_parties(ledger(spark, sf_dir)), "named")
     return categorise(named)
 
 

@@ -73,3 +73,52 @@ def headers(df: DataFrame) -> DataFrame:
         .alias("unreadable_pages"),
         F.lit(True).alias("is_digital_text"),
     )
+
+
+def raw_rows(df: DataFrame) -> DataFrame:
+    """Printed rows of overlapping statements.
+
+    A statement covers a year and the January after it, so neighbours share rows. Dates
+    come in five shapes, some statements run newest first, texts carry stray spaces and a
+    control byte, and each statement has a brought-forward row and a balance-only row.
+    """
+    year = F.year("txn_date")
+    files = F.when(F.month("txn_date") == 1, F.array(year, year - 1)).otherwise(F.array(year))
+    rows = df.drop("file_idx").withColumn("file_idx", F.explode(files)).withColumn("at", F.col("row_seq") * 2)
+    amt = F.col("amount")
+    plain = ((amt < 0) & (F.col("side") == "debit")) | ((amt > 0) & (F.col("side") == "credit"))
+    both = plain & (F.col("row_seq") % 97 == 0)
+    money = lambda c: (c / 100).cast("decimal(18,2)")
+    wd = F.when(both, F.when(amt < 0, -amt + 100).otherwise(100)).when(F.col("side") == "debit", -amt)
+    dep = F.when(both, F.when(amt > 0, amt + 100).otherwise(100)).when(F.col("side") == "credit", amt)
+    ident = ["acct", "job_id", "bank", "account_no", "file_idx"]
+    body = rows.select(
+        *ident, "at", "txn_date", F.concat(F.lit("  "), F.replace(F.col("description"), F.lit(" "), F.lit("  ")), F.lit("\x07 ")).alias("description"),
+        money(wd).alias("withdrawal"), money(dep).alias("deposit"), money(F.col("balance")).alias("balance"),
+        "page", F.lit(False).alias("is_opening"),
+    )
+    none = F.lit(None).cast("decimal(18,2)")
+    delta = F.when(F.col("balance_inverted"), -amt).otherwise(amt)
+    ends = rows.groupBy(*ident).agg(
+        F.min_by(F.struct("at", "txn_date", (F.col("balance") - delta).alias("balance"), "page"), "at").alias("lo"),
+        F.max_by(F.struct("at", "txn_date", "balance", "page"), "at").alias("hi"),
+    )
+
+    def edge(name: str, step: int, text: str, opening: bool) -> DataFrame:
+        return ends.select(
+            *ident, (F.col(f"{name}.at") + step).alias("at"), f"{name}.txn_date", F.lit(text).alias("description"),
+            none.alias("withdrawal"), none.alias("deposit"), money(F.col(f"{name}.balance")).alias("balance"),
+            f"{name}.page", F.lit(opening).alias("is_opening"),
+        )
+
+    out = body.unionByName(edge("lo", -1, "B/F", True)).unionByName(edge("hi", 1, "Closing balance", False))
+    shape = (F.col("acct") % 5).cast("int")
+    printed = None
+    for i, p in enumerate(PRINTED_DATES):
+        text = F.date_format("txn_date", p)
+        printed = F.when(shape == i, text) if printed is None else printed.when(shape == i, text)
+    newest_first = F.col("acct") % 7 == 0
+    return out.select(
+        *ident, F.when(newest_first, -F.col("at")).otherwise(F.col("at")).alias("printed_seq"),
+        printed.alias("date"), "description", "withdrawal", "deposit", "balance", "page", "is_opening",
+    )
