@@ -20,10 +20,12 @@ no words at all every target is 0; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passbook.llm.common import WORD, running, text_of, unit
+from passbook.llm.common import SPACE, WORD, partitions, running, text_of, unit
 from passbook.session import stage
 
 WEIGHT_CYCLE = (1, 2, 3)
@@ -64,45 +66,72 @@ def targets(sized: DataFrame) -> DataFrame:
     return weighed.select("source", "rank", "weight", "source_size", target.alias("target"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> Column:
     """How many of ``drawn`` blocks, out of ``total``, are among the ``marked`` ones.
 
     Inverse transform: weights relative to the mode follow from the ratio of neighbours,
     walking right and then left, until far beyond what a double can add.
     """
-    n, k, d = (c.cast("double") for c in (total, marked, drawn))
-    low = F.greatest(F.lit(0.0), d + k - n)
-    high = F.least(d, k)
-    mode = F.least(high, F.greatest(low, F.floor((d + 1) * (k + 1) / (n + 2)).cast("double")))
-    spread = F.sqrt(d * k / F.greatest(n, F.lit(1.0)) + 1) * 12 + 40
-
-    def walk(steps: Column, right: bool, goal: Column, base: Column) -> Column:
-        def step(acc: Column, j: Column) -> Column:
-            x = mode + j if right else mode - j
-            if right:
-                ratio = (k - x + 1) * (d - x + 1) / (x * (n - k - d + x))
-            else:
-                ratio = (x + 1) * (n - k - d + x + 1) / ((k - x) * (d - x))
-            p = F.when(j == 0, acc["p"]).otherwise(acc["p"] * ratio)
-            counted = F.lit(1.0) if right else F.when(j == 0, 0.0).otherwise(1.0)
-            upto = acc["sum"] + p * counted
-            hit = acc["pick"].isNull() & (upto >= goal)
-            return F.struct(
-                p.alias("p"), upto.alias("sum"), F.when(hit, x).otherwise(acc["pick"]).alias("pick")
+
+    def draw(v: Column) -> Column:
+        n, k, d, mode = v["n"], v["k"], v["d"], v["mode"]
+
+        def walk(right: bool, goal: Column, base: Column) -> Column:
+            def step(acc: Column, j: Column) -> Column:
+                x = mode + j if right else mode - j
+                if right:
+                    ratio = (k - x + 1) * (d - x + 1) / (x * (n - k - d + x))
+                else:
+                    ratio = (x + 1) * (n - k - d + x + 1) / ((k - x) * (d - x))
+                p = F.when(j == 0, acc["p"]).otherwise(acc["p"] * ratio)
+                counted = p if right else F.when(j == 0, 0.0).otherwise(p)
+                upto = acc["sum"] + counted
+                hit = acc["pick"].isNull() & (upto >= goal)
+                return F.struct(
+                    p.alias("p"), upto.alias("sum"), F.when(hit, x).otherwise(acc["pick"]).alias("pick")
+                )
+
+            first = F.struct(
+                F.lit(1.0).alias("p"), base.alias("sum"), F.lit(None).cast("double").alias("pick")
             )
+            steps = F.least(v["ups"] if right else v["downs"], v["spread"]).cast("int")
+            return F.aggregate(F.sequence(F.lit(0), steps), first, step)
+
+        never, none = F.lit(float("inf")), F.lit(0.0)
+        whole = let(walk(True, never, none)["sum"], lambda half: walk(False, never, half)["sum"])
+        return let(
+            whole * v["u"],
+            lambda goal: let(
+                walk(True, goal, none),
+                lambda up: F.coalesce(up["pick"], walk(False, goal, up["sum"])["pick"], mode),
+            ),
+        ).cast("long")
+
+    n, k, d = (c.cast("double") for c in (total, marked, drawn))
+    sides = F.struct(
+        u.alias("u"), n.alias("n"), k.alias("k"), d.alias("d"),
+        F.greatest(F.lit(0.0), d + k - n).alias("low"), F.least(d, k).alias("high"),
+        (F.sqrt(d * k / F.greatest(n, F.lit(1.0)) + 1) * 12 + 40).alias("spread"),
+    )
+
+    def centred(v: Column) -> Column:
+        peak = F.floor((v["d"] + 1) * (v["k"] + 1) / (v["n"] + 2)).cast("double")
+        mode = F.least(v["high"], F.greatest(v["low"], peak))
+        names = ["u", "n", "k", "d", "low", "high", "spread"]
+        return F.struct(*(v[c].alias(c) for c in names), mode.alias("mode"))
 
-        first = F.struct(
-            F.lit(1.0).alias("p"), base.alias("sum"), F.lit(None).cast("double").alias("pick")
+    def bounded(v: Column) -> Column:
+        names = ["u", "n", "k", "d", "mode", "spread"]
+        return F.struct(
+            *(v[c].alias(c) for c in names), (v["high"] - v["mode"]).alias("ups"), (v["mode"] - v["low"]).alias("downs")
         )
-        return F.aggregate(F.sequence(F.lit(0), F.least(steps, spread).cast("int")), first, step)
 
-    never = F.lit(float("inf"))
-    ups, downs = high - mode, mode - low
-    right_sum = walk(ups, True, never, F.lit(0.0))["sum"]
-    whole = walk(downs, False, never, right_sum)["sum"]
-    up = walk(ups, True, u * whole, F.lit(0.0))
-    down = walk(downs, False, u * whole, up["sum"])
-    return F.coalesce(up["pick"], down["pick"], mode).cast("long")
+    return let(sides, lambda a: let(centred(a), lambda b: let(bounded(b), draw)))
 
 
 def quotas(blocks: DataFrame, shards: int = SHARDS, seed: str = "mix") -> DataFrame:
@@ -122,39 +151,36 @@ def quotas(blocks: DataFrame, shards: int = SHARDS, seed: str = "mix") -> DataFr
     depth = max(shards - 1, 0).bit_length()
     for _ in range(depth):
         half = F.floor(F.col("n") / 2).cast("int")
-        node = node.withColumn("half", half).withColumn("all", tally("qs"))
-        node = node.withColumn("goal", F.floor(F.col("all") * F.col("half") / F.col("n")).cast("long"))
         start = F.struct(
-            F.col("all").alias("rest"), F.col("goal").alias("need"), F.expr(f"cast(array() as {kind})").alias("out")
-        )
+            tally("qs").alias("rest"), F.floor(tally("qs") * half / F.col("n")).cast("long").alias("need"),
+            F.expr(f"cast(array() as {kind})").alias("out"),
+        )
 
         def draw(acc: Column, s: Column) -> Column:
             u = unit(F.lit(seed), F.col("lo").cast("string"), F.col("n").cast("string"), s["rank"].cast("string"))
             x = hypergeometric(u, acc["rest"], s["q"], acc["need"])
-            drawn = F.array(F.struct(s["rank"].alias("rank"), x.alias("q"))).cast(kind)
-            # One draw for each source: a one-element array keeps the lambda from repeating it.
-            return F.aggregate(
-                drawn, acc,
-                lambda a, e: F.struct(
-                    (a["rest"] - s["q"]).alias("rest"), (a["need"] - e["q"]).alias("need"),
-                    F.array_append(a["out"], e).alias("out"),
+            return let(
+                F.struct(s["rank"].alias("rank"), x.alias("q")),
+                lambda e: F.struct(
+                    (acc["rest"] - s["q"]).alias("rest"), (acc["need"] - e["q"]).alias("need"),
+                    F.array_append(acc["out"], e).alias("out"),
                 ),
             )
 
-        node = node.withColumn("left", F.aggregate("qs", start, draw)["out"])
-        rest = F.zip_with(
-            "qs", "left", lambda a, b: F.struct(a["rank"].alias("rank"), (a["q"] - b["q"]).alias("q"))
-        )
-        kids = F.when(
-            F.col("n") > 1,
-            F.array(
-                F.struct(F.col("lo").alias("lo"), F.col("half").alias("n"), F.col("left").alias("qs")),
+        def split(left: Column) -> Column:
+            rest = F.zip_with(
+                "qs", left, lambda a, b: F.struct(a["rank"].alias("rank"), (a["q"] - b["q"]).alias("q"))
+            )
+            return F.array(
+                F.struct(F.col("lo").alias("lo"), half.alias("n"), left.alias("qs")),
                 F.struct(
-                    (F.col("lo") + F.col("half")).alias("lo"), (F.col("n") - F.col("half")).alias("n"),
-                    rest.cast(kind).alias("qs"),
+                    (F.col("lo") + half).alias("lo"), (F.col("n") - half).alias("n"), rest.cast(kind).alias("qs")
                 ),
-            ),
-        ).otherwise(F.array(F.struct("lo", "n", "qs")))
+            )
+
+        kids = F.when(F.col("n") > 1, let(F.aggregate("qs", start, draw)["out"], split)).otherwise(
+            F.array(F.struct("lo", "n", "qs"))
+        )
         node = stage(node.select(F.explode(kids).alias("k")).select("k.*"), "mix_tree")
     leaves = node.select(F.col("lo").alias("shard"), F.explode("qs").alias("s")).select("shard", "s.rank", "s.q")
     parts = leaves.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("shard", "q"))).alias("parts"))
@@ -168,7 +194,11 @@ def quotas(blocks: DataFrame, shards: int = SHARDS, seed: str = "mix") -> DataFr
 
 
 def mix(
-    docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: str = "mix"
+    docs: DataFrame,
+    shards: int = SHARDS,
+    block_words: int = BLOCK_WORDS,
+    seed: str = "mix",
+    row: Column | None = None,
 ) -> DataFrame:
     """One row per document: its size, its source's size and target, and its placements.
 
@@ -176,12 +206,13 @@ def mix(
     pass, the words taken from its start, the output shard, and the place in the shard
     (sort by it). At most ``MOST_PASSES`` entries.
     """
+    row = row if row is not None else F.monotonically_increasing_id()
     sized = stage(
         docs.select(
             "doc_id", "source",
             F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
             F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_perm"),
-            F.monotonically_increasing_id().alias("_row"),
+            row.alias("_row"),
         ),
         "mix_sizes",
     )
@@ -215,3 +246,25 @@ def digest(mixed: DataFrame) -> DataFrame:
     """``mix`` in the columns of the contract."""
     taken = F.aggregate("placements", F.lit(0).cast("long"), lambda a, s: a + s["words"])
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The mix itself: a document row for each placement, in the order of the output shards.
+
+    A document that gives only its first words is cut after them (and ``n_chars``, if
+    there is one, is its new length). The rows are dealt by range over (shard, place).
+    """
+    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix_input")
+    pieces = mix(held, shards, row=F.col("_row")).select("_row", "size", F.explode("placements").alias("_p"))
+    pieces = pieces.select("_row", F.col("size").alias("_size"), F.col("_p.words").alias("_words"),
+                           F.col("_p.shard").alias("_shard"), F.col("_p.place").alias("_place"))
+    rows = held.join(stage(pieces, "mix_pieces"), "_row")
+    part = F.col("_words") < F.col("_size")
+    words = F.regexp_extract_all("text", F.lit(f"(?:{SPACE})?{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")
+    rows = rows.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn("n_chars", F.when(part, length).otherwise(F.col("n_chars")))
+    dealt = rows.repartitionByRange(partitions(docs.sparkSession), "_shard", "_place", "_row")
+    return dealt.sortWithinPartitions("_shard", "_place", "_row").select(*docs.columns)

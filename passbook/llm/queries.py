@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm import mixing, sharding
-from passbook.llm.common import documents
+from passbook.llm import decontaminate, exact, lines, mixing, quality, sharding, simhash, threads, tokens, toxicity
+from passbook.llm.common import documents, table
 from passbook.plans.registry import query
 
 OP8_SQL = r"""
@@ -83,3 +84,59 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_rendezvous_shards", OP9_SQL)
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM texts WINDOW g AS (PARTITION BY t)
+"""
+
+
+@query("op4_block_names", OP4_SQL)
+def op4_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(documents(spark, sf_dir))
+
+
+@query("op1_simhash_groups")
+def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op6_boosted_quality")
+def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op3_toxic_pairs")
+def op3_toxic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op2_template_leaks")
+def op2_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_unigram_tokens")
+def op5_unigram_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, sf_dir))
+
+
+@query("op7_fuzzy_lines")
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(documents(spark, sf_dir)))
+
+
+@query("op10_quote_threads")
+def op10_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.chat(table(spark, sf_dir, "conversations"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -66,7 +66,9 @@ def assign(
     )
 
 
-def stage_shards(docs: DataFrame, weights: list[float] = WEIGHTS) -> DataFrame:
-    """The documents, written shard by shard, with the shard as a last column."""
-    shard = rendezvous(F.col("doc_id"), weights)
-    return docs.withColumn("shard", shard)
+def sharded_documents(docs: DataFrame, weights: list[float] = WEIGHTS) -> DataFrame:
+    """The documents with their shard in column ``shard`` (one of that name is replaced).
+
+    No row moves: a writer may partition by the column, or a reader filter on it.
+    """
+    return docs.withColumn("shard", rendezvous(F.col("doc_id"), weights))
