@@ -47,7 +47,9 @@ UNITS = frozenset(
     "second seconds min minute minutes h hour hours day days week weeks month months year years cent cents dollar "
     "dollars euro euros rupee rupees percent degree degrees meter meters metre metres kilometer kilometers kmh mph".split()
 )
-_TOKEN = re.compile(r"([.!?:\n][\s\"'(]*)?(\d+(?:[.,:/]\d+)*|[^\W\d]\w*|[%$€£°])")
+#: A word, with the end of the sentence before it if there is one.
+_TOKEN = re.compile(r"(?:[.!?:\n][\s\"'(]*)?(?:[^\W\d]\w*|\d+(?:[.,:/]\d+)*|[%$€£°])")
+_LEAD = re.compile(r"[.!?:\n][\s\"'(]*")
 _KINDS = ("", "<number>", "<name>", "<unit>")
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -56,42 +58,52 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=1)
 
 
-class Templates:
-    """Turns texts into template words; remembers a bounded number of words."""
+def plain_word(token: str) -> str:
+    """A token without what leads it."""
+    lead = _LEAD.match(token)
+    return token[lead.end() :] if lead else token
+
+
+class Templates(dict):
+    """Turns texts into template words. Maps tokens to numbers, up to ``CACHE`` of them."""
 
     def __init__(self):
-        self.known: dict[tuple[str, str], tuple[int, int, str]] = {}
+        super().__init__()
         self.slots = [_hash(k) for k in _KINDS]
-
-    def word(self, lead: str, word: str) -> tuple[int, int, str]:
-        """Hash, kind and template word, as far as the word and what leads it decide."""
-        inner = not lead
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.hashes = np.zeros(CACHE, np.uint64)
+        self.kinds = np.zeros(CACHE, np.int8)
+
+    def __missing__(self, token: str) -> int:
+        """Numbers a token that is new, with its hash and kind."""
+        word, at = plain_word(token), len(self)
+        if at == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
         if word[0].isdigit():
             kind = 1
-        elif inner and len(word) > 1 and word[0].isupper() and word[1:].islower():
+        elif word is token and len(word) > 1 and word[0].isupper() and word[1:].islower():
             kind = 2
         else:
             kind = 0
-        plain = _KINDS[kind] or word.lower()
-        return _hash(plain), kind, plain
-
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[tuple[str, str]]]:
-        """Template hashes, kinds, and the words with what leads them."""
+        self.hashes[at], self.kinds[at] = self.slots[kind] if kind else _hash(word.lower()), kind
+        self[token] = at
+        return at
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Template hashes, kinds and tokens of a text."""
+        if len(self) >= CACHE:
+            self.reset()
         words = _TOKEN.findall(text)
-        if words:
-            words[0] = (".", words[0][1])  # a text begins a sentence
-        known, hashes, kinds = self.known, [], []
-        for pair in words:
-            found = known.get(pair)
-            if found is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                found = known[pair] = self.word(*pair)
-            hashes.append(found[0])
-            kinds.append(found[1])
-        h, k = np.array(hashes, np.uint64), np.array(kinds, np.int8)
+        if words and words[0] == plain_word(words[0]):
+            words[0] = "\n" + words[0]  # a text begins a sentence
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        h, k = self.hashes[at], self.kinds[at]
         for i in np.flatnonzero(k[:-1] == 1) + 1 if len(k) else ():
-            if words[i][1].lower() in UNITS:
+            if plain_word(words[i]).lower() in UNITS:
                 h[i], k[i] = self.slots[3], 3
         return h, k, words
 
@@ -107,11 +119,11 @@ class Templates:
             plain += k[j : j + n] == 0
         return total ^ (total >> np.uint64(29)), plain >= min(LITERALS, size)
 
-    def spell(self, k: np.ndarray, words: list[tuple[str, str]], at: int, size: int) -> tuple[str, list[str]]:
+    def spell(self, k: np.ndarray, words: list[str], at: int, size: int) -> tuple[str, list[str]]:
         """The template of a window, and its slots (empty for plain words)."""
-        span = range(at, at + size)
-        template = " ".join(_KINDS[k[i]] or words[i][1].lower() for i in span)
-        return template, [words[i][1].lower() if k[i] else "" for i in span]
+        kinds, plain = k[at : at + size], [plain_word(w).lower() for w in words[at : at + size]]
+        template = " ".join(_KINDS[x] or w for x, w in zip(kinds, plain, strict=True))
+        return template, [w if x else "" for x, w in zip(kinds, plain, strict=True)]
 
 
 WINDOWS = "key bigint, id bigint, at int, size int, hash bigint, template string, slots array<string>, windows int"
