@@ -20,12 +20,10 @@ no words at all every target is 0; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passbook.llm.common import SPACE, WORD, partitions, running, text_of, unit
+from passbook.llm.common import SPACE, WORD, let, partitions, running, text_of, unit
 from passbook.session import stage
 
 WEIGHT_CYCLE = (1, 2, 3)
@@ -66,11 +64,6 @@ def targets(sized: DataFrame) -> DataFrame:
     return weighed.select("source", "rank", "weight", "source_size", target.alias("target"))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> Column:
     """How many of ``drawn`` blocks, out of ``total``, are among the ``marked`` ones.
 
