@@ -3,7 +3,8 @@
 1. Every text becomes the set of its words' hashes (``2 ** HASH_BITS`` buckets) and its
    length class; written once as a narrow table.
 2. Over all labelled training rows each bucket's documents are counted by label, first in
-   each task, and the ``TERMS`` buckets with the highest chi-square come to the driver.
+   each task; of those with a chi-square of ``LEAST_CHI`` or more, the ``TERMS`` highest
+   come to the driver.
 3. The machine (bias, linear weights and ``FACTORS`` factors for each term) is fitted on at
    most ``TRAIN_ROWS`` labelled rows. The factors give every pair of terms a weight of its
    own, so an insult with a group's name can weigh more than both alone.
@@ -33,6 +34,8 @@ from passbook.session import stage
 HASH_BITS = 20
 BUCKETS = 1 << HASH_BITS
 TERMS = 1024
+#: Chi-square that a term needs: with a million buckets, few reach it by chance.
+LEAST_CHI = 16.0
 FACTORS = 8
 LENGTHS = 24
 EPOCHS, BATCH, STEP, RIDGE = 40, 512, 0.01, 1e-4
@@ -70,9 +73,9 @@ def informative_terms(known: DataFrame, most: int = TERMS) -> np.ndarray:
     negs, poss = tally.where(F.col("term") >= BUCKETS).agg(F.sum("neg"), F.sum("pos")).first()
     a, b, n, p = F.col("pos"), F.col("neg"), F.lit(float(negs or 0)), F.lit(float(poss or 0))
     rest = F.greatest(n + p - a - b, F.lit(1.0))
-    chi = (a * (n - b) - b * (p - a)) ** 2 / ((a + b) * rest)
+    chi = (n + p) * (a * (n - b) - b * (p - a)) ** 2 / ((a + b) * rest * F.greatest(n * p, F.lit(1.0)))
     top = tally.where((F.col("term") < BUCKETS) & (a + b >= 3)).select("term", chi.alias("chi"))
-    top = top.orderBy(F.desc("chi"), "term").limit(most).toPandas()
+    top = top.where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(most).toPandas()
     return np.sort(top["term"].to_numpy(np.int64))
 
 
