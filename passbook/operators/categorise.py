@@ -15,7 +15,7 @@ from passbook.functions.party import bank_from_code
 from passbook.functions.subcategory import credit_side, with_subcategory
 from passbook.functions.text import gated_hit, hit, squash
 from passbook.operators.ordered import with_running
-from passbook.session import small_side
+from passbook.session import small_side, stage
 from passbook.vocab import keywords as K
 
 NOT_EMI_GATE = "RENT|ADVANCE|DRIVER|SALARY|WAGE|HOUSE|MAINTEN"
@@ -180,6 +180,10 @@ def tag_rows(
         df = df.withColumn("__own", own_name(F.when(probe, squash("party")), holder_stems(F.col(holder))))
         own = own | F.coalesce("__own", F.lit(False))
     df = df.withColumn("__kin", is_kin).withColumn("__self", open_row & own)
+    # Written here: a filter on the tag would else be pushed through the whole cascade,
+    # and its nested cases copied into each other until the optimizer gives up.
+    df = stage(df, "cascade")
+    credit = F.col("__cr")
     cadence = F.col("__tag").isNull() & ~credit & F.col("rec_emi")
     tag = (
         F.when(F.col("__kin") | F.col("__self"), kin)

@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 ROWS_PER_BLOCK = 1 << 16
 
 
+def _join_back(df: DataFrame, summary: DataFrame, on: list[str]) -> DataFrame:
+    """``df`` with the summary row of its key; null keys match null keys, so no row is lost."""
+    renamed = summary.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    match = None
+    for c in on:
+        same = F.col(c).eqNullSafe(F.col(f"__on_{c}"))
+        match = same if match is None else match & same
+    return df.join(renamed, match)
+
+
 def row_block(col: str = "row_seq") -> Column:
     """Segment for statement order: blocks of consecutive row numbers."""
     return F.floor(F.col(col) / F.lit(ROWS_PER_BLOCK)).cast("bigint")
@@ -52,7 +62,7 @@ def with_running(
     for out, src in sums.items():
         added.append((F.sum(src).over(upto) + F.col(f"__s_{out}")).alias(out))
     keep = [c for c in df.columns if c != index and c not in sums]
-    return df.join(offsets, [*key, seg]).select(*keep, *added)
+    return _join_back(df, offsets, [*key, seg]).select(*keep, *added)
 
 
 def with_previous(
@@ -73,4 +83,4 @@ def with_previous(
         F.when(first, F.col(f"__tail.{out}")).otherwise(F.lag(src).over(inside)).alias(out)
         for out, src in cols.items()
     ]
-    return df.join(prior, [*key, seg]).select(*df.columns, *added)
+    return _join_back(df, prior, [*key, seg]).select(*df.columns, *added)

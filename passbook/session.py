@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: For local masters without that setting, in the working directory.
+LOCAL_FOLDER = ".stages"
 
 
-def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the benchmark; a cluster brings its own."""
+def local_session(
+    cpus: str = "*", shuffle_partitions: int = 8, folder: str | None = None
+) -> SparkSession:
+    """A session for tests and the benchmark; a cluster brings its own.
+
+    Stage tables go to ``folder``, or to ``.stages`` in the working directory.
+    """
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("passbook")
@@ -25,7 +31,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config(CHECKPOINT_KEY, tempfile.mkdtemp(prefix="passbook-ck-"))
+        .config(CHECKPOINT_KEY, folder or os.path.abspath(LOCAL_FOLDER))
         .getOrCreate()
     )
 
@@ -41,7 +47,7 @@ def stage_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="passbook-ck-")
+    root = os.path.abspath(LOCAL_FOLDER)
     spark.conf.set(CHECKPOINT_KEY, root)
     return root
 

@@ -1,7 +1,7 @@
 """Keyword lists, tags and name tables used by the rules.
 
 Every list keeps its meaning-bearing order (first listed wins). They can be replaced
-by the user's own through ``passbook.sources.vocabulary``.
+by the user's own.
 """
 
 # ---- tags -----------------------------------------------------------------

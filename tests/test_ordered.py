@@ -1,0 +1,22 @@
+import datetime as dt
+
+import pytest
+
+from passbook.operators.ordered import with_previous, with_running
+from passbook.session import local_session
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return local_session("4", 4)
+
+
+def test_null_keys_and_segments_keep_their_rows(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [(1, day, 1, 5), (1, day, 2, 7), (1, None, 3, 11), (None, day, 4, 13), (None, None, 5, 17)]
+    df = spark.createDataFrame(rows, "acct int, txn_date date, row_seq int, amount int")
+    got = with_running(df, ["acct"], "txn_date", ["row_seq"], index="n", sums={"run": "amount"}).collect()
+    assert len(got) == 5 and sum(r.amount for r in got) == 53
+    assert {(r.row_seq, r.n, r.run) for r in got if r.acct == 1} == {(3, 1, 11), (1, 2, 16), (2, 3, 23)}
+    before = with_previous(df, ["acct"], "txn_date", ["row_seq"], {"prev": "amount"}).collect()
+    assert len(before) == 5 and {r.row_seq: r.prev for r in before}[2] == 5
