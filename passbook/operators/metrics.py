@@ -265,8 +265,8 @@ def _period(df: DataFrame) -> DataFrame:
     )
 
 
-def emi_obligations(df: DataFrame) -> DataFrame:
-    """Instalment obligations, largest first, at most fifteen per account."""
+def emi_obligations(df: DataFrame, top: int | None = 15) -> DataFrame:
+    """Instalment obligations, largest first; ``top`` of an account, or all if it is None."""
     key = party_key("party")
     nearest = (F.bround(-F.col("amount") / 10_000.0).cast("bigint") * 100).cast("string")
     emi = df.filter((F.col("category") == K.EMI) & (F.col("amount") < 0))
@@ -287,7 +287,8 @@ def emi_obligations(df: DataFrame) -> DataFrame:
     active = F.col("last_seen") >= F.date_sub("period_end", 45)
     cut = F.date_sub("period_end", 90)
     fresh = active & (F.col("first_seen") >= cut) & (F.col("period_start") < cut)
-    return o.withColumn("rk", F.row_number().over(w)).filter("rk <= 15").select(
+    o = o.withColumn("rk", F.row_number().over(w))
+    return (o if top is None else o.filter(F.col("rk") <= top)).select(
         "acct", F.col("rk").cast("bigint").alias("rk"), "party", "monthly_amount", "months_seen",
         "first_seen", "last_seen", "total_paid", active.alias("active"), fresh.alias("is_new"),
     )
@@ -338,7 +339,7 @@ def credit_summary(df: DataFrame) -> DataFrame:
         bounce_trend(days), concentration(df).drop("top_credit_parties"),
     ):
         out = out.join(part, "acct", "left")
-    obligations = emi_obligations(df).groupBy("acct").agg(
+    obligations = emi_obligations(df, top=None).groupBy("acct").agg(
         F.count_if("active").alias("active_emis"), F.count_if("is_new").alias("new_emis"),
         _sum(F.col("active"), F.col("monthly_amount")).alias("active_emi_total"),
     )

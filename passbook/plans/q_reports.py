@@ -184,6 +184,12 @@ def credit_sheet(spark, sf):
     return sheet.filter(F.col("pos").isin(7, 8, 9, 11, 20, 22))
 
 
+@query("credit_sheet_all")
+def credit_sheet_all(spark, sf):
+    """Every line of the sheet; SQL for all of them is still to be written."""
+    return R.credit_sheet(M.credit_summary(stages.tagged(spark, sf)))
+
+
 @query("facility", with_ctes("""
 SELECT DISTINCT acct, file_idx, CASE acct % 5 WHEN 1 THEN 'Savings' WHEN 2 THEN 'Current' WHEN 3 THEN 'Overdraft / Cash Credit'
   WHEN 4 THEN 'Overdraft / Cash Credit' ELSE '' END AS facility FROM ledger"""))
