@@ -103,7 +103,8 @@ def blocks_for(nodes: int, radius: int = RADIUS, bits: int = BITS) -> int:
 
 def stars(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """For each component of ``members`` within ``radius``: edges from its least to the others."""
-    rest = np.unique(members)
+    # Unsigned, as bits are counted of a number's absolute value.
+    rest = np.unique(members.astype(np.int64)).view(np.uint64)
     edges = []
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
@@ -113,7 +114,7 @@ def stars(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
             for e in edge:
                 near |= np.bitwise_count(rest ^ e) <= radius
             edge, rest = rest[near], rest[~near]
-            edges += [(int(root), int(x)) for x in edge]
+            edges += [(int(root.view(np.int64)), int(x)) for x in edge.view(np.int64)]
     return edges
 
 

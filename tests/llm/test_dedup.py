@@ -65,6 +65,14 @@ def test_hot_keys_keep_their_components(spark):
     assert [g["count"] for g in groups] == [len(near)]
 
 
+def test_fingerprints_that_differ_in_the_sign_bit_are_linked(spark):
+    far, near = (0x00FF << 40) + 6, (0x00FF << 40) + 7 - 2**63
+    assert simhash.stars(np.array([far, near]), 4) == [(near, far)]
+    assert simhash.stars(np.array([0, -1]), 4) == []
+    nodes = stage(spark.createDataFrame([(far,), (near,)], "fp long"), "nodes")
+    assert [(e.a, e.b) for e in simhash.links(nodes, "fp").collect()] == [(near, far)]
+
+
 def test_any_number_of_blocks_finds_every_pair():
     for blocks in (5, 7, 8, 9):
         keys = [m % 2**64 for m in simhash.masks(blocks)]
