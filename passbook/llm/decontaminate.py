@@ -13,8 +13,10 @@ Documents first test a window's hash against a bitmap of the benchmark's hashes,
 is fixed (``2 ** BITMAP_BITS`` bits), whatever the benchmark's; only windows that pass are
 emitted and joined.
 
-Cases: null texts count as empty and link to nothing; a window with fewer than ``LITERALS``
-plain words is no evidence; items of fewer than ``WINDOW`` words are looked up as one window
+A window with fewer than ``LITERALS`` plain words says too little as a template, so it is
+matched word by word as it stands, numbers, names and units included.
+
+Cases: null texts count as empty and link to nothing; items of fewer than ``WINDOW`` words are looked up as one window
 of their own length, those under ``LITERALS`` words not at all; repeated documents and items
 give one row per pair of ids; empty tables give none; other columns are not read.
 """
@@ -75,6 +77,7 @@ class Templates(dict):
     def reset(self) -> None:
         self.clear()
         self.hashes = np.zeros(CACHE, np.uint64)
+        self.literals = np.zeros(CACHE, np.uint64)
         self.kinds = np.zeros(CACHE, np.int8)
 
     def __missing__(self, token: str) -> int:
@@ -82,6 +85,7 @@ class Templates(dict):
         word, at = plain_word(token), len(self)
         if at == len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.literals = np.concatenate([self.literals, np.zeros_like(self.literals)])
             self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
         if word[0].isdigit():
             kind = 1
@@ -89,26 +93,30 @@ class Templates(dict):
             kind = 2
         else:
             kind = 0
-        self.hashes[at], self.kinds[at] = self.slots[kind] if kind else _hash(word.lower()), kind
+        self.literals[at], self.kinds[at] = _hash(word.lower()), kind
+        self.hashes[at] = self.slots[kind] if kind else self.literals[at]
         self[token] = at
         return at
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Template hashes, kinds and tokens of a text."""
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Template hashes, literal hashes, kinds and tokens of a text."""
         if len(self) >= CACHE:
             self.reset()
         words = _TOKEN.findall(text)
         if words and words[0] == plain_word(words[0]):
             words[0] = "\n" + words[0]  # a text begins a sentence
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        h, k = self.hashes[at], self.kinds[at]
+        h, literal, k = self.hashes[at], self.literals[at], self.kinds[at]
         for i in np.flatnonzero(k[:-1] == 1) + 1 if len(k) else ():
             if plain_word(words[i]).lower() in UNITS:
                 h[i], k[i] = self.slots[3], 3
-        return h, k, words
+        return h, literal, k, words
+
+    def windows(self, h: np.ndarray, literal: np.ndarray, k: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each window of ``size``, and whether it has enough plain words for a template.
 
-    def windows(self, h: np.ndarray, k: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of each window of ``size``, and whether it has enough plain words."""
+        Windows that have not are hashed by their literal words.
+        """
         n = len(h) - size + 1
         if n < 1:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -117,11 +125,20 @@ class Templates(dict):
         for j in range(size):
             total = total * np.uint64(_MULTIPLIER) + h[j : j + n]
             plain += k[j : j + n] == 0
-        return total ^ (total >> np.uint64(29)), plain >= min(LITERALS, size)
-
-    def spell(self, k: np.ndarray, words: list[str], at: int, size: int) -> tuple[str, list[str]]:
-        """The template of a window, and its slots (empty for plain words)."""
+        typed = plain >= min(LITERALS, size)
+        if not typed.all():
+            bare = np.flatnonzero(~typed)
+            exact = np.zeros(len(bare), np.uint64)
+            for j in range(size):
+                exact = exact * np.uint64(_MULTIPLIER) + literal[bare + j]
+            total[bare] = exact
+        return total ^ (total >> np.uint64(29)), typed
+
+    def spell(self, k: np.ndarray, words: list[str], at: int, size: int, typed: bool) -> tuple[str, list[str]]:
+        """The template of a window, and its slots (empty for plain words); a literal window has none."""
         kinds, plain = k[at : at + size], [plain_word(w).lower() for w in words[at : at + size]]
+        if not typed:
+            return " ".join(plain), [""] * size
         template = " ".join(_KINDS[x] or w for x, w in zip(kinds, plain, strict=True))
         return template, [w if x else "" for x, w in zip(kinds, plain, strict=True)]
 
@@ -141,16 +158,17 @@ def _emit(sizes_of: Callable[[int], list[int]], bitmap: np.ndarray | None):
         for batch in batches:
             rows = []
             for key, doc, text in zip(batch["key"], batch["id"], batch["text"], strict=True):
-                h, k, words = templates.read(text)
+                h, literal, k, words = templates.read(text)
                 for size in sizes_of(len(h)):
-                    hashes, ok = templates.windows(h, k, size)
+                    hashes, typed = templates.windows(h, literal, k, size)
+                    ok = np.ones(len(hashes), bool)
                     if bitmap is not None and len(hashes):
                         place = hashes >> np.uint64(64 - BITMAP_BITS)
                         ok &= (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                     at = np.flatnonzero(ok)
                     signed = _signed(hashes)
                     for i in at:
-                        rows.append((key, doc, i, size, signed[i], *templates.spell(k, words, i, size), len(ok)))
+                        rows.append((key, doc, i, size, signed[i], *templates.spell(k, words, i, size, typed[i]), len(ok)))
                     if len(rows) > 20_000:
                         yield _frame(rows)
                         rows = []

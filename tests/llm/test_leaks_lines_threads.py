@@ -44,6 +44,16 @@ def test_slots_must_be_consistent(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs, bench).collect()] == [1]
 
 
+def test_items_dense_in_numbers_are_found_verbatim(spark):
+    item = "Let f(3) = 7, f(5) = 11 and f(9) = 19; find f(2) + f(4)"
+    short = "Add 12, 47, 88 and Berta 63"
+    rows = [(1, "Before. " + item + " After."), (2, "Before. " + item.replace("7", "8") + " After."), (3, "We say: " + short)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got >= {(1, 1, "verbatim"), (3, 2, "verbatim")} and all(g[0] != 2 or g[2] == "verbatim" for g in got)
+
+
 def normal(line):
     plain = re.sub(r"\d", "0", line.lower())
     return " ".join(w for w in re.split(r"[\W_]+", plain) if w)
