@@ -4,9 +4,10 @@ Words become templates: numbers, names (capitalised words inside a sentence) and
 after a number turn into typed placeholders, whose words are kept as slots; all else is
 lower-cased. Every window of ``WINDOW`` template words of the benchmark is hash-joined
 with the documents' windows and compared word by word. Matches that line up (same distance
-between the two places) form an alignment. An alignment counts if its slots map one to
-one: the same benchmark name always became the same other name. A document is linked to an
-item if the consistent alignments cover ``RUN_WINDOWS`` windows of it (13 words in a row
+between the two places) form an alignment. Its windows with unchanged slots always count.
+The others count if the alignment's names map one to one (the same benchmark name always
+became the same other name), in the longest run of windows in which a number or unit always
+became the same other one; two numbers may become one. A document is linked to an item if the consistent alignments cover ``RUN_WINDOWS`` windows of it (13 words in a row
 for a window of 8), or ``COVERAGE`` of all its windows.
 
 Documents first test a window's hash against a bitmap of the benchmark's hashes, whose size
@@ -24,6 +25,7 @@ give one row per pair of ids; empty tables give none; other columns are not read
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from passbook.llm.common import text_of
 from passbook.session import stage
@@ -143,6 +146,36 @@ class Templates(dict):
         return template, [w if x else "" for x, w in zip(kinds, plain, strict=True)]
 
 
+def _counted(match: list) -> tuple[list[int], bool]:
+    """The places of an alignment's windows that count, and whether a slot of theirs was changed."""
+    match = sorted(match, key=lambda m: m["at"])
+    same = {m["at"] for m in match if all(p["was"] == p["now"] for p in m["pairs"])}
+    names = {(p["was"], p["now"]) for m in match for p in m["pairs"] if p["kind"] == _KINDS[2]}
+    best: list[int] = []
+    if len({was for was, _ in names}) == len(names) == len({now for _, now in names}):
+        start, now_of, uses = 0, {}, Counter()
+        for end, m in enumerate(match):
+            values = {((p["kind"], p["was"]), p["now"]) for p in m["pairs"] if p["kind"] != _KINDS[2]}
+            if len({was for was, _ in values}) < len(values):  # at odds with itself
+                start, now_of, uses = end + 1, {}, Counter()
+                continue
+            while any(uses[was] and now_of[was] != now for was, now in values):
+                for was in {(p["kind"], p["was"]) for p in match[start]["pairs"] if p["kind"] != _KINDS[2]}:
+                    uses[was] -= 1
+                start += 1
+            for was, now in values:
+                now_of[was] = now
+                uses[was] += 1
+            if end + 1 - start > len(best):
+                best = [w["at"] for w in match[start : end + 1]]
+    return sorted(same.union(best)), not same.issuperset(best)
+
+
+@F.pandas_udf(StructType([StructField("places", ArrayType(IntegerType())), StructField("changed", BooleanType())]))
+def counted_windows(matches: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_counted(m) for m in matches], columns=["places", "changed"])
+
+
 WINDOWS = "key bigint, id bigint, at int, size int, hash bigint, template string, slots array<string>, windows int"
 
 
@@ -221,19 +254,17 @@ def links(docs: DataFrame, benchmark: DataFrame, row=None) -> DataFrame:
     theirs = items.select(F.col("id").alias("item_id"), "at", "hash", "template", "slots", "windows")
     met = seen.join(theirs, ["hash", "template"]).withColumn("shift", F.col("doc_at") - F.col("at"))
     pairs = F.filter(
-        F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a.alias("was"), b.alias("now"))),
+        F.arrays_zip(
+            F.split("template", " ").alias("kind"), F.col("slots").alias("was"), F.col("doc_slots").alias("now")
+        ),
         lambda s: s["was"] != "",
     )
     # An alignment has at most one match per window of the item, so its lists are short.
     aligned = met.groupBy("key", "doc_id", "item_id", "shift").agg(
-        F.collect_set("at").alias("places"),
-        F.array_distinct(F.flatten(F.collect_list(pairs))).alias("slots"),
-        F.max("windows").alias("windows"),
+        F.collect_list(F.struct("at", pairs.alias("pairs"))).alias("matches"), F.max("windows").alias("windows")
     )
-    was = F.array_distinct(F.transform("slots", lambda s: s["was"]))
-    now = F.array_distinct(F.transform("slots", lambda s: s["now"]))
-    one_to_one = (F.size(was) == F.size("slots")) & (F.size(now) == F.size("slots"))
-    fit = aligned.where(one_to_one).withColumn("changed", F.exists("slots", lambda s: s["was"] != s["now"]))
+    fit = aligned.select("key", "doc_id", "item_id", "windows", counted_windows("matches").alias("fit"))
+    fit = fit.select("key", "doc_id", "item_id", "windows", "fit.*")
     covered = (
         fit.select("key", "doc_id", "item_id", "windows", "changed", F.explode("places").alias("place"))
         .groupBy("key", "doc_id", "item_id")

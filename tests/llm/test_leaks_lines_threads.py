@@ -44,6 +44,19 @@ def test_slots_must_be_consistent(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs, bench).collect()] == [1]
 
 
+def test_colliding_numbers_leave_the_rest_of_a_match(spark):
+    pairs = "he paid 5 coins for the bread and the cheese and then 3 coins for the wine that was in the cellar"
+    twice = "she gave 5 apples to the tall boy and later at noon gave 5 pears to the small girl who lived at the very end of the long road"
+    rows = [
+        (1, ITEM.replace("14 sheep", "3 sheep")), (2, pairs.replace("5", "4").replace("3", "4")),
+        (3, twice.replace("5 apples", "4 apples").replace("5 pears", "7 pears")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (2, pairs), (3, twice)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): "reparameterised", (2, 2): "reparameterised", (3, 3): "reparameterised"}
+
+
 def test_items_dense_in_numbers_are_found_verbatim(spark):
     item = "Let f(3) = 7, f(5) = 11 and f(9) = 19; find f(2) + f(4)"
     short = "Add 12, 47, 88 and Berta 63"
