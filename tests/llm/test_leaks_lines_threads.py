@@ -118,3 +118,16 @@ def test_threads(spark):
     assert by[1, 2].formatted == "<|user|>\nNot there." and by[1, 3].formatted == "<|unknown|>\nSince when?"
     assert by[2, 0].parent is None and by[2, 0].quoted_lines == 1
     assert threads.chat(chats.limit(0)).count() == 0
+
+
+def test_wrapped_and_partial_quotes_are_linked(spark):
+    long = "The boat leaves the harbour at noon. Bring warm clothes and a lamp, as the crossing takes most of the night."
+    rows = [
+        (1, 0, "user", long), (1, 1, "assistant", "How long does it take?"),
+        (1, 2, "user", "> The boat leaves the\n> harbour at noon. Bring warm clothes\n> and a lamp, as the crossing takes\n> most of the night.\nFine."),
+        (1, 3, "user", "> Bring warm clothes and a lamp\nWhy?"), (1, 4, "user", "> Fine.\n> Not that at all\nSo be it."),
+        (1, 5, "user", "> The harbour leaves the boat\nNo such words."),
+    ]
+    got = threads.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.parent for r in got} == {0: None, 1: None, 2: 0, 3: 0, 4: 2, 5: None}
+    assert {r.turn: r.quoted_lines for r in got} == {0: 0, 1: 0, 2: 4, 3: 1, 4: 2, 5: 1}
