@@ -86,6 +86,21 @@ def test_lines(spark, edge, empty):
     assert lines.dedup_lines(edge).count() == 12 and lines.dedup_lines(empty).count() == 0
 
 
+def test_short_lines_at_one_edit_are_all_linked(spark):
+    words = "amber birch cedar dune ember fjord grove heath inlet".split()
+    rows, want = [], {}
+    for n in range(5, 10):
+        base = [f"{w}{'x' * n}" for w in words[:n]]
+        rows.append((n * 100, " ".join(base)))
+        edits = [base[:i] + ["changed"] + base[i + 1 :] for i in range(n)]
+        edits += [base[:i] + ["added"] + base[i:] for i in range(n + 1) if n < 9]
+        rows += [(n * 100 + 1 + i, " ".join(e)) for i, e in enumerate(edits)]
+        rows.append((n * 100 + 50, " ".join(["other", "things", *base[2:]])))
+        want |= {d: int(d % 50 == 0) for d, _ in rows if d // 100 == n}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.kept_lines for r in lines.dedup_lines(docs).collect()} == want
+
+
 def test_exact_lines_of_the_table(spark, sf):
     docs = table(spark, sf, "documents")
     seen, want = set(), {}
