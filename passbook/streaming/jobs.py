@@ -115,12 +115,12 @@ def _table(job_id: int, actions: list[tuple]) -> pd.DataFrame:
     return out
 
 
-def fold(key: tuple, rows: pd.DataFrame, until: int | None = None) -> pd.DataFrame:
-    """All actions of one job from all its deliveries; ``until``: the last moment to look at."""
+def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """All actions of one job from all its deliveries, with every deadline after the last."""
     job, actions = Job(), []
     for delivery in _in_order(rows):
         actions += job.take(*delivery)
-    actions += job.until(until if until is not None else 1 << 62)
+    actions += job.until(1 << 62)
     return _table(int(key[0]), actions)
 
 
@@ -146,7 +146,8 @@ def _step(clock: str, keep: int):
                 state.setTimeoutDuration(max(1, due - now + 1))
             else:
                 state.setTimeoutTimestamp(max(due, now) + 1)
-        yield _table(int(key[0]), actions)
+        if actions:
+            yield _table(int(key[0]), actions)
 
     return step
 
