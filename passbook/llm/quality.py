@@ -1,8 +1,8 @@
 """Operator 6: quality by histogram gradient-boosted trees over document statistics.
 
-Each text becomes ``FEATURES`` (shares of byte classes, word and line repetition, lengths),
-in one pass that is written as a narrow table. The trees are fitted on at most
-``TRAIN_ROWS`` labelled rows and flattened into three arrays (feature, threshold, value);
+Each text becomes ``FEATURES`` (shares of byte classes, word and line repetition, lengths).
+The trees are fitted on a bounded sample of at most ``TRAIN_ROWS`` labelled rows (those
+whose id's hash is low) and flattened into three arrays (feature, threshold, value);
 scoring walks all trees of all rows of a batch at once, one level at a time.
 
 Cases: a null text counts as empty, and empty texts get a score like any other; a null
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from passbook.llm.common import is_held_out, text_of
-from passbook.llm.learning import TRAIN_ROWS, training_labels, training_sample
-from passbook.session import stage
+from passbook.llm.learning import TRAIN_ROWS, training_rows
 
 KEEP_AT = 0.3
 FEATURES = [
@@ -134,26 +133,20 @@ def scorer(model: Trees) -> Callable[[Column], Column]:
     return score
 
 
-def train(described: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
-    """Trees from ``described`` (doc_id, f) and the labels outside the held-out fold."""
-    known = described.join(training_labels(labels, "quality"), "doc_id")
-    sample = training_sample(known, most).select("f", "label").toPandas()
-    x = np.stack(sample["f"].to_list()) if len(sample) else np.zeros((0, len(FEATURES)), np.float32)
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
+    """Trees from the statistics of a bounded sample of the labels outside the held-out fold."""
+    sample = training_rows(docs, labels, "quality", features(text_of()), most).toPandas()
+    x = np.stack(sample["value"].to_list()) if len(sample) else np.zeros((0, len(FEATURES)), np.float32)
     return fit(x, sample["label"].to_numpy(np.float64))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of the contract: doc_id, held_out, score, predicted."""
-    described = stage(docs.select("doc_id", features(text_of()).alias("f")), "quality_features")
-    score = scorer(train(described, labels))(F.col("f"))
-    return described.select("doc_id", is_held_out().alias("held_out"), score.alias("score")).withColumn(
-        "predicted", (F.col("score") >= KEEP_AT).cast("int")
-    )
+    score = scorer(train(docs, labels))(features(text_of()))
+    scored = docs.select("doc_id", is_held_out().alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= KEEP_AT).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, at: float = KEEP_AT) -> DataFrame:
-    """The documents whose score reaches ``at``. Statistics are written once and read twice."""
-    held = docs.withColumn("_f", features(text_of()))
-    held = stage(held, "quality_input")
-    model = train(held.select("doc_id", F.col("_f").alias("f")), labels)
-    return held.where(scorer(model)(F.col("_f")) >= at).drop("_f")
+    """The documents whose score reaches ``at``: one pass, nothing is shuffled or written."""
+    return docs.where(scorer(train(docs, labels))(features(text_of())) >= at)

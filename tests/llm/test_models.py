@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 
-from passbook.llm import quality, tokens, toxicity
+from passbook.llm import learning, quality, tokens, toxicity
 from passbook.llm.common import table
 
 BIG = "/root/testdata/sf0.1"
@@ -42,7 +42,7 @@ def test_factors_learn_pairs():
         a, b = rng.integers(0, 2, 2)
         found.append(np.array([x for x, on in ((5, a), (9, b)) if on] + [toxicity.BUCKETS], np.int32))
         y.append(int(a and b))
-    model = toxicity.fit(np.array([5, 9]), found, np.array(y))
+    model = toxicity.fit(found, np.array(y))
     assert ((model.score(found) >= 0.5) == np.array(y)).mean() == 1
 
 
@@ -67,3 +67,53 @@ def test_token_counts_are_the_tokenizers(spark, sf, edge, empty):
     got = tokens.token_counts(edge).collect()
     assert len(got) == 12 and {r.tokens for r in got if r.doc_id in (3, 4)} == {0}
     assert tokens.token_counts(empty).count() == 0
+
+
+def test_words_that_say_nothing_alone_are_kept_for_their_pair():
+    rng = np.random.default_rng(2)
+    found, y = [], []
+    for _ in range(4000):
+        a, b = rng.integers(0, 2, 2)
+        noise = rng.choice(500, 20, replace=False) + 1000
+        found.append(np.array([*([5] if a else []), *([9] if b else []), *np.sort(noise), toxicity.BUCKETS], np.int32))
+        y.append(int(a == b))
+    chosen = toxicity.informative(found, np.array(y))
+    assert {5, 9, toxicity.BUCKETS} <= set(chosen) and len(chosen) < 20
+    model = toxicity.fit(found, np.array(y))
+    assert ((model.score(found) >= 0.5) == np.array(y)).mean() > 0.99
+
+
+def test_the_machine_is_its_pair_sums():
+    rng = np.random.default_rng(3)
+    found = [np.unique(rng.integers(0, 40, n)).astype(np.int32) for n in (1, 5, 12, 30)]
+    model = toxicity.Machine(np.arange(0, 40, 2), 0.3)
+    model.weight[:] = rng.normal(size=20)
+    for f, got in zip(found, model.score(found), strict=True):
+        at = [int(t) // 2 for t in f if t % 2 == 0]
+        raw = 0.3 + sum(model.weight[i] for i in at)
+        raw += sum(model.factor[i] @ model.factor[j] for n, i in enumerate(at) for j in at[:n])
+        assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-12
+
+
+def test_trees_are_walked_one_by_one():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4)).astype(np.float32)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.fit(x, y)
+    for row, got in zip(x[:50], model.score(x[:50]), strict=True):
+        raw = model.base
+        for t in range(len(model.feature)):
+            at = 0
+            for _ in range(quality.DEPTH):
+                at = 2 * at + (2 if row[model.feature[t, at]] > model.limit[t, at] else 1)
+            raw += model.value[t, at]
+        assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-9
+    assert ((model.score(x) >= 0.5) == y).mean() > 0.97
+
+
+def test_the_sample_of_labels_is_bounded_and_steady(spark):
+    labels = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS INT) AS toxic")
+    labels = labels.unionByName(labels)
+    got = [sorted(map(tuple, learning.sampled_labels(labels, "toxic", 900).collect())) for _ in range(2)]
+    assert got[0] == got[1] and 600 < len(got[0]) <= 900 and len({d for d, _ in got[0]}) == len(got[0])
+    assert learning.sampled_labels(labels, "toxic").count() == learning.training_labels(labels, "toxic").count()
