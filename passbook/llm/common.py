@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,26 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def with_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``_row``, a text that names each row the same way every time it is read.
+
+    Of a Parquet table as it is read, that is a hash of the file's path and the place in the
+    file, and nothing is copied. Any other table is written as stage ``name`` first, as its
+    rows have no such name.
+    """
+    if "_row" in docs.columns:
+        raise ValueError("columns that begin with an underscore are reserved: _row")
+    place = F.concat_ws(".", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index"))
+    steps = {line.split()[0] for line in str(docs._jdf.queryExecution().analyzed().toString()).splitlines() if line.strip()}
+    if any(s.endswith("Relation") for s in steps) and len(steps) == 1:
+        try:
+            return docs.select("*", place.alias("_row"))
+        except AnalysisException:  # not a table of files
+            pass
+    row = F.monotonically_increasing_id().cast("string")
+    return stage(docs.withColumn("_row", row), name)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from passbook.llm.common import text_of
+from passbook.llm.common import text_of, with_rows
 from passbook.session import stage
 
 WINDOW = 8
@@ -176,7 +176,7 @@ def counted_windows(matches: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_counted(m) for m in matches], columns=["places", "changed"])
 
 
-WINDOWS = "key bigint, id bigint, at int, size int, hash bigint, template string, slots array<string>, windows int"
+WINDOWS = "key string, id bigint, at int, size int, hash bigint, template string, slots array<string>, windows int"
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
@@ -213,11 +213,11 @@ def _emit(sizes_of: Callable[[int], list[int]], bitmap: np.ndarray | None):
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = ["key", "id", "at", "size", "hash", "template", "slots", "windows"]
     frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({"key": "int64", "id": "Int64", "at": "int32", "size": "int32", "hash": "int64", "windows": "int32"})
+    return frame.astype({"id": "Int64", "at": "int32", "size": "int32", "hash": "int64", "windows": "int32"})
 
 
 def _keyed(df: DataFrame, name: str, key) -> DataFrame:
-    return df.select(key.alias("key"), F.col(name).cast("bigint").alias("id"), text_of().alias("text"))
+    return df.select(key.cast("string").alias("key"), F.col(name).cast("bigint").alias("id"), text_of().alias("text"))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -291,6 +291,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are linked to no item."""
-    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "decon_input")
+    held = with_rows(docs, "decon_input")
     bad = stage(links(held, benchmark, F.col("_row")).select(F.col("key").alias("_row")).distinct(), "decon_rows")
     return held.join(bad, "_row", "left_anti").drop("_row")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passbook.llm.common import SPACE, WORD, let, partitions, running, text_of, unit
+from passbook.llm.common import SPACE, WORD, let, partitions, running, text_of, unit, with_rows
 from passbook.session import stage
 
 WEIGHT_CYCLE = (1, 2, 3)
@@ -247,7 +247,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     A document that gives only its first words is cut after them (and ``n_chars``, if
     there is one, is its new length). The rows are dealt by range over (shard, place).
     """
-    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix_input")
+    held = with_rows(docs, "mix_input")
     pieces = mix(held, shards, row=F.col("_row")).select("_row", "size", F.explode("placements").alias("_p"))
     pieces = pieces.select("_row", F.col("size").alias("_size"), F.col("_p.words").alias("_words"),
                            F.col("_p.shard").alias("_shard"), F.col("_p.place").alias("_place"))

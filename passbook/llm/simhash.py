@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from passbook.llm.common import text_of
+from passbook.llm.common import text_of, with_rows
 from passbook.llm.graph import components
 from passbook.session import stage
 
@@ -172,9 +172,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near duplicates: of each group the row with the least doc_id stays."""
-    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near_input")
-    found = groups(held, F.col("_row"))
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(1 << 62)), "_row")
-    best = found.groupBy("root").agg(F.min(order)["_row"].alias("_row")).select("_row")
-    return held.join(best, "_row", "left_semi").drop("_row")
+    """The documents without near duplicates: of each group the row with the least doc_id stays.
+
+    Only fingerprints and row names move; the texts are read again and the rows that go are
+    taken out, by broadcast if they are few enough.
+    """
+    held = with_rows(docs, "near_input")
+    found = stage(groups(held, F.col("_row")).select("root", "doc_id", "_row"), "near_found")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    best = found.groupBy("root").agg(F.min(order)["_row"].alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    gone = found.join(stage(best, "near_best"), "root").where("_row <> _best").select("_row")
+    return held.join(stage(gone, "near_gone"), "_row", "left_anti").drop("_row")

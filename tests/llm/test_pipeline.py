@@ -2,8 +2,9 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from passbook.llm import quality
-from passbook.llm.common import table
+from passbook.llm.common import table, with_rows
 from tests.llm.test_dedup import roots, slow_fingerprint
 
 
@@ -63,3 +64,14 @@ def test_stages_take_edges(spark, sf, edge, empty):
             out = apply(spark, docs, sf)
             assert out.columns[: len(docs.columns)] == docs.columns, name
             assert out.count() <= 3 * docs.count()
+
+
+def test_rows_have_steady_names(spark, sf, edge):
+    docs = table(spark, sf, "documents")
+    once, again = (with_rows(docs, "x").select("_row", "doc_id").collect() for _ in range(2))
+    assert {tuple(r) for r in once} == {tuple(r) for r in again} and len({r._row for r in once}) == len(once)
+    assert "Exchange" not in with_rows(docs, "x")._jdf.queryExecution().toString()
+    copied = with_rows(edge, "x")
+    assert len({r._row for r in copied.collect()}) == 12 and {r._row for r in copied.collect()} == {r._row for r in copied.collect()}
+    with pytest.raises(ValueError, match="reserved"):
+        with_rows(copied, "x")
