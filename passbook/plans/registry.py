@@ -36,5 +36,5 @@ def query(
 def load() -> None:
     """Import every module that registers queries."""
     from passbook.plans import (  # noqa: F401
-        q_batch, q_blocks, q_category, q_metrics, q_pages, q_party, q_reports, q_rows, q_streaming, q_validate,
+        q_batch, q_blocks, q_category, q_ledger, q_metrics, q_pages, q_party, q_reports, q_rows, q_streaming, q_validate,
     )

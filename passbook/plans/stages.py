@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from passbook.functions.modes import detect_mode
 from passbook.functions.party import finish_party, with_party
+from passbook.operators import parties, statements
 from passbook.operators.categorise import categorise
 from passbook.session import stage
 from passbook.sources import tables
@@ -46,3 +47,21 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(spark, sf_dir, "tagged", lambda: build_tagged(spark, sf_dir))
+
+
+def statement_parties(rows: DataFrame) -> DataFrame:
+    """The parties of each statement, by its own rows."""
+    read = stage(with_party(rows.withColumn("mode", detect_mode("description"))), "read_parties")
+    return parties.resolve(read, statements.FILE)
+
+
+def build_ledger(raw: DataFrame) -> DataFrame:
+    """Printed rows of overlapping statements to one categorised ledger per account.
+
+    Per statement: order, parties, orientation, content ids. Then the statements of an
+    account are merged, repeats go, identifiers are resolved again over the whole account,
+    and every row is tagged.
+    """
+    merged = stage(statements.merge(statements.normalise(raw, statement_parties)), "merged")
+    known = stage(parties.resolve(merged, ["acct"], ("uid",), learn_names=False), "account_parties")
+    return categorise(known)
