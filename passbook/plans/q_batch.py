@@ -169,7 +169,7 @@ def profile(spark, sf, half: bool = False):
 
 
 @query("corpus_profile", with_ctes("""
-SELECT layout, files, 0 AS unreadable_files, rows, not_reconciling, party_named_pct, party_nameable_pct, mean_desc_len,
+SELECT layout, files, CAST(0 AS BIGINT) AS unreadable_files, rows, not_reconciling, party_named_pct, party_nameable_pct, mean_desc_len,
   (SELECT string_agg(label || '=' || CAST(CAST(round(pct * 10) AS BIGINT) AS VARCHAR), ';' ORDER BY encode(label)) FROM mix m WHERE m.side = 'all' AND m.layout = p.layout AND k <= 6) AS top_categories
 FROM profile p WHERE side = 'all'""", PROFILED))
 def corpus_profile(spark, sf):
@@ -329,7 +329,7 @@ def report_tables(spark, sf):
 
 
 @query("corrections", with_ctes("""
-SELECT job_id, place, CASE WHEN description = '' THEN 'description required' WHEN row_seq % 6 = 0 THEN 'a corrected category, party or note is required'
+SELECT CAST(job_id AS BIGINT) AS job_id, place, CASE WHEN description = '' THEN 'description required' WHEN row_seq % 6 = 0 THEN 'a corrected category, party or note is required'
   WHEN row_number() OVER (PARTITION BY job_id, description <> '' AND row_seq % 6 <> 0 ORDER BY place) > 50 THEN 'correction limit reached' END AS refused FROM (
   SELECT job_id, row_seq, acct * 1000000 + row_seq AS place, CASE WHEN row_seq % 7 = 0 THEN '' ELSE trim(description) END AS description FROM ledger WHERE row_seq % 10 = 2)""", LEDGER), ("refused",))
 def corrections(spark, sf):

@@ -166,17 +166,21 @@ def bounce_trend(spark, sf):
 
 
 @query("two_way_parties", with_ctes(f"""
+, years AS (SELECT acct * 10000 + file_idx AS acct, row_seq, party, amount FROM tagged),
+bars AS (SELECT acct, greatest(2500000.0, coalesce(sum(amount) FILTER (amount > 0), 0) * 0.01) AS bar FROM years GROUP BY acct),
+shown AS (SELECT acct, {PKEY} AS pkey, trim(arg_min(party, (-length(party), row_seq))) AS label FROM years WHERE party <> '' GROUP BY 1, 2)
 SELECT acct, rk, party, credits, debits FROM (
   SELECT x.acct, l.label AS party, credits, debits,
     row_number() OVER (PARTITION BY x.acct ORDER BY least(credits, debits) DESC, x.pkey) AS rk
-  FROM (SELECT g.acct, {PKEY} AS pkey, max(greatest(2500000.0, total * 0.01)) AS bar,
+  FROM (SELECT g.acct, {PKEY} AS pkey, max(bar) AS bar,
           CAST(coalesce(sum(amount) FILTER (amount > 0), 0) AS BIGINT) AS credits,
           CAST(coalesce(-sum(amount) FILTER (amount < 0), 0) AS BIGINT) AS debits
-        FROM tagged g JOIN tot t ON t.acct = g.acct
-        WHERE party <> '' AND abs(amount) >= greatest(2500000.0, total * 0.01) GROUP BY 1, 2) x
-  JOIN labels l ON l.acct = x.acct AND l.pkey = x.pkey WHERE least(credits, debits) >= bar) WHERE rk <= 5""", PARTY))
+        FROM years g JOIN bars t ON t.acct = g.acct WHERE party <> '' AND abs(amount) >= bar GROUP BY 1, 2) x
+  JOIN shown l ON l.acct = x.acct AND l.pkey = x.pkey WHERE least(credits, debits) >= bar) WHERE rk <= 5""".replace("\n, years", "years", 1), TAGGED + ","))
 def two_way_parties(spark, sf):
-    return M.two_way_parties(stages.tagged(spark, sf))
+    """G15, each account and year on its own: over all years no single row reaches the bar."""
+    rows = stages.tagged(spark, sf).withColumn("acct", F.col("acct") * 10_000 + F.col("file_idx"))
+    return M.two_way_parties(rows)
 
 
 @query("high_risk_spend", with_ctes("""

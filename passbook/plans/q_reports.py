@@ -7,7 +7,7 @@ from passbook.operators import reports as R
 from passbook.plans import stages
 from passbook.plans.oracle_base import TAGGED, with_ctes
 from passbook.plans.q_metrics import DAILY, PARTY, PKEY, TREND, days
-from passbook.plans.registry import query
+from passbook.plans.registry import ORACLES, query
 from passbook.sources import statements as S
 from passbook.vocab import keywords as K
 
@@ -184,9 +184,20 @@ def credit_sheet(spark, sf):
     return sheet.filter(F.col("pos").isin(7, 8, 9, 11, 20, 22))
 
 
-@query("credit_sheet_all")
+SHEET_SQL = {
+    "money": lambda c: ACCOUNTING(c), "pct": lambda c: f"CAST({c} AS VARCHAR) || '%'", "int": lambda c: f"CAST({c} AS VARCHAR)",
+    "num": lambda c: f"CAST({c} AS VARCHAR)", "text": lambda c: c,
+}
+#: Every metric of the sheet has a query and SQL of its own; the sheet's SQL lays them out.
+SHEET_PARTS = ["account_totals", "balance_stats", "turnover_trend", "balance_stability", "party_concentration"]
+
+
+@query("credit_sheet_all", "WITH " + ", ".join(f"{n} AS ({ORACLES[n]})" for n in SHEET_PARTS) + ", sheet AS (SELECT * FROM account_totals "
+       + " ".join(f"LEFT JOIN {n} USING (acct)" for n in SHEET_PARTS[1:]) + ") "
+       + " UNION ALL ".join(f"SELECT acct, {i} AS pos, '{label}' AS label, {SHEET_SQL[kind](name)} AS value FROM sheet"
+                            for i, (name, label, kind) in enumerate(R.CREDIT_SHEET, 1)))
 def credit_sheet_all(spark, sf):
-    """Every line of the sheet; SQL for all of them is still to be written."""
+    """Every line of the sheet."""
     return R.credit_sheet(M.credit_summary(stages.tagged(spark, sf)))
 
 
