@@ -197,9 +197,7 @@ FROM bal b JOIN (
   FROM (SELECT *, lag(balance) OVER (PARTITION BY acct ORDER BY row_seq) AS prev FROM tagged) GROUP BY acct) v ON v.acct = b.acct""", DAILY))
 def account_health(spark, sf):
     """Flagship: reconciliation breaks, mean balance and low-balance streak per account."""
-    from passbook.sources import tables
-
-    ledger = tables.ledger(spark, sf)
+    ledger = stages.ledger(spark, sf)
     days = ledger.withColumn(M.POS, M.position()).groupBy("acct", "txn_date").agg(
         F.max_by("balance", M.POS).alias("closing")
     )
