@@ -4,9 +4,12 @@ from pyspark.sql import functions as F
 
 from passbook.operators import metrics as M
 from passbook.operators import validate as V
-from passbook.plans import stages
+from passbook.plans import (
+    q_validate,  # noqa: F401  # its SQL is part of that of the reads
+    stages,
+)
 from passbook.plans.oracle_base import TAGGED, with_ctes
-from passbook.plans.registry import query
+from passbook.plans.registry import ORACLES, query
 
 NON_TURNOVER = "('Loan amount disbursal','Salary credited','Interest received','Investment return credited','return / refund','Related party credit')"
 BOUNCED = "('inward bounce penal charges','Outward Bounced Xns')"
@@ -209,7 +212,49 @@ def account_health(spark, sf):
     )
 
 
-@query("credit_reads")
+#: Every metric that a message names has SQL of its own; the messages are laid over them.
+READ_PARTS = ["account_totals", "balance_stats", "turnover_trend", "balance_stability", "bounce_trend", "party_concentration", "account_status"]
+RUPEES = lambda c: f"printf('%.0f', {c} / 100.0)"
+SAID = [
+    ("status <> 'passed'", "'Balance does not reconcile on every row — treat totals as provisional until the source document is complete.'"),
+    ("bounces > 0", "bounces || ' bounce/return event(s) in ' || months || ' month(s) — a cheque/mandate discipline signal.'"),
+    ("bounces_last_90d >= 2 AND bounces_last_90d > bounces_prior_90d", "'Bounces are increasing: ' || bounces_last_90d || ' in the last 90 days vs ' || bounces_prior_90d || ' in the 90 days before — recent cheque/mandate failures, not old history.'"),
+    ("cash_intensity_pct >= 40", "'Cash-intensive: ' || cash_intensity_pct || '% of turnover is cash deposits — turnover is harder to verify independently.'"),
+    ("avg_balance < 0", "'Average balance is negative — an overdraft / CC account operating in the drawn range.'"),
+    ("emi_out > 0 AND emi_out_monthly > avg_monthly_turnover * 0.5", f"'EMI/interest outflow (~' || {RUPEES('emi_out_monthly')} || '/mo) is a large share of monthly turnover — limited headroom for new EMI.'"),
+    ("n_active > 0", f"n_active || ' EMI obligation(s) active at period end (~' || {RUPEES('active_total')} || '/mo combined)' || CASE WHEN n_new > 0 THEN ', ' || n_new || ' added in the last quarter.' ELSE '.' END"),
+    ("top_party_share_pct > 40", "CASE WHEN top_party_share_pct >= 50 THEN 'Credit concentration: the top counterparty is ' || top_party_share_pct || '% of all credits — revenue depends heavily on one source.' ELSE 'Credit concentration: the top counterparty is ' || top_party_share_pct || '% of all credits (top 3: ' || top3_party_share_pct || '%) — revenue leans on one customer.' END"),
+    ("related_credit_pct >= 25", "related_credit_pct || '% of credits are from related parties — may overstate genuine third-party turnover.'"),
+    ("turnover_trend IN ('declining', 'rising')", "CASE turnover_trend WHEN 'declining' THEN 'Turnover is declining over the period — business credits in the later months are materially below the earlier ones.' ELSE 'Turnover is rising over the period — a positive trend.' END"),
+    ("last_quarter_change_pct <= -30", f"'Turnover in the last quarter averages ' || {RUPEES('last3_avg')} || '/mo vs ' || {RUPEES('CAST(prior_avg AS BIGINT)')} || '/mo earlier — down ' || -last_quarter_change_pct || '%.'"),
+    ("balance_stability_cv > 0.6", "'Balance swings widely month to month — low liquidity stability, worth probing before relying on the average.'"),
+    ("low_days_pct >= 25", f"'Balance sits below ' || {RUPEES('CAST(low_threshold AS BIGINT)')} || ' on ' || low_days_pct || '% of days (longest continuous stretch: ' || longest_low_streak || ' day(s)) — a thin liquidity buffer.'"),
+    ("servicing_coverage < 1.5", "'Debt-service coverage is tight (inflow is ~' || servicing_coverage || '× existing EMI outflow) — little room for additional debt.'"),
+    ("spent > 0", f"'Speculative / high-risk spending seen: ' || lower(risk_group) || ' (' || n_risk || ' txn, ' || {RUPEES('spent')} || ') — diversion of working capital, verify with the borrower.'"),
+]
+OBLIGED = with_ctes("""
+SELECT acct, count(*) FILTER (last_seen >= pe - 45) AS n_active, count(*) FILTER (last_seen >= pe - 45 AND first_seen >= pe - 90 AND ps < pe - 90) AS n_new,
+  CAST(coalesce(sum(monthly_amount) FILTER (last_seen >= pe - 45), 0) AS BIGINT) AS active_total FROM ob GROUP BY acct""", EMIS)
+
+
+def reads_sql() -> str:
+    """The messages of each account in order. No account of the given tables has a two-way party
+    over its whole period (see ``two_way_parties``), so that message is left to the tests."""
+    parts = ", ".join(f"{n} AS ({ORACLES[n]})" for n in READ_PARTS)
+    joins = " ".join(f"LEFT JOIN {n} USING (acct)" for n in READ_PARTS[1:])
+    joined = (
+        f"WITH {parts}, obliged AS ({OBLIGED}), risky AS (SELECT acct, risk_group, n AS n_risk, spent FROM ({ORACLES['high_risk_spend']})), "
+        f"whole AS (SELECT * FROM account_totals {joins} LEFT JOIN obliged USING (acct) LEFT JOIN risky USING (acct))"
+    )
+    said = ", ".join(f"CASE WHEN {when} THEN {what} END" for when, what in SAID)
+    none = "'No adverse signals detected on the deterministic checks.'"
+    return (
+        f"{joined} SELECT acct, CAST(unnest(range(len(said))) AS INTEGER) AS pos, unnest(said) AS message FROM (SELECT acct, CASE WHEN len(x) > 0 THEN x ELSE [{none}] END AS said "
+        f"FROM (SELECT acct, list_filter([{said}], lambda m: m IS NOT NULL) AS x FROM whole))"
+    )
+
+
+@query("credit_reads", reads_sql())
 def credit_reads(spark, sf):
     df = stages.tagged(spark, sf)
     status = V.account_status(V.file_issues(V.with_file(df)), V.with_file(df))
