@@ -31,11 +31,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from passbook.llm.common import text_of, with_rows
 from passbook.llm.graph import components
-from passbook.session import stage
+from passbook.session import small_side, stage
 
 WORDS = 4
 SEED = 42
@@ -44,6 +44,11 @@ RADIUS = 4
 CELL = 1024
 #: Bytes of a text that are split into words at a time.
 PIECE = 1 << 20
+#: For similarity by sets of shingles: their words, the least similarity, and bands of least
+#: hashes. Two texts at 0.8 share a band with a probability of 1 - (1 - 0.8 ** 6) ** 10 = 0.95,
+#: at 0.85 of 0.99, at 0.4 of 0.04.
+SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 6
+_ORDERS = np.random.default_rng(5).integers(1 << 62, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -171,15 +176,88 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def shingle_hashes(text: str, words: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, in arrays of bounded size; fewer words make one shingle."""
+    head, some = [], False
+    for run in word_runs(text.encode("utf-8", "surrogatepass").lower(), words - 1):
+        head = run if len(run) < words else []
+        shingles = map(b" ".join, zip(*(run[i:] for i in range(words)), strict=False))
+        hashes = np.fromiter(map(_hash, shingles), np.uint64)
+        for i in range(0, len(hashes), 4096):
+            some = True
+            yield hashes[i : i + 4096]
+    if head and not some:
+        yield np.array([_hash(b" ".join(head))], np.uint64)
+
+
+def band_keys(text: str) -> np.ndarray:
+    """``BANDS`` keys from the least hashes of a text's shingles, and two that name them all."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for hashes in shingle_hashes(text):
+        np.minimum(least, (hashes[:, None] * _ORDERS[None, :]).min(axis=0), out=least)
+    parts = [*least.reshape(BANDS, BAND_ROWS), least, least]
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), seed=i) for i, x in enumerate(parts)]
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _banded(texts: pd.Series) -> pd.Series:
+    return pd.Series([band_keys(t) for t in texts], dtype=object)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _shingle_sets(texts: pd.Series) -> pd.Series:
+    """The distinct shingles of each text, by 32 bits of their hash."""
+    none = [np.zeros(0, np.uint64)]
+    sets = [np.unique(np.concatenate([*shingle_hashes(t), *none]) >> np.uint64(32)) for t in texts]
+    return pd.Series([x.astype(np.uint32).view(np.int32) for x in sets], dtype=object)
+
+
+def similar_links(held: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) of ``rows`` (_row, rid, keys) between texts whose shingle sets are similar.
+
+    Rows with the same least hashes are one node. Nodes that share a band are compared with
+    the least node of it, never all with all: a group of copies shares all its bands. The
+    check is of the whole sets; texts are read again for nodes that have a partner only.
+    """
+    names = [F.get("keys", BANDS).alias("k1"), F.get("keys", BANDS + 1).alias("k2")]
+    named = rows.select("rid", "_row", "keys", *names)
+    nodes = named.groupBy("k1", "k2").agg(F.min(F.struct("rid", "_row", "keys")).alias("of"))
+    nodes = stage(nodes.select("k1", "k2", "of.*"), "near_nodes")
+    copies = named.join(nodes.select("k1", "k2", F.col("rid").alias("lead")), ["k1", "k2"]).where("rid <> lead")
+    banded = nodes.select("rid", F.posexplode(F.slice("keys", 1, BANDS)).alias("band", "key"))
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rid").alias("lead")).where("n > 1")
+    pairs = banded.join(shared, ["band", "key"]).where("rid <> lead").select(F.col("lead").alias("a"), F.col("rid").alias("b"))
+    pairs = stage(pairs.distinct(), "near_pairs")
+    some = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    some = stage(nodes.join(some, "rid", "left_semi").select("rid", "_row"), "near_partners")
+    sets = stage(held.join(small_side(some), "_row").select("rid", _shingle_sets(text_of()).alias("set")), "near_sets")
+    left, right = (sets.select(F.col("rid").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    close = both >= least * (F.size("sa") + F.size("sb") - both) - 1e-9
+    met = pairs.join(left, "a").join(right, "b").where(close)
+    return met.select("a", "b").unionByName(copies.select(F.col("lead").alias("a"), F.col("rid").alias("b")))
+
+
+def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents without near duplicates: of each group the row with the least doc_id stays.
 
-    Only fingerprints and row names move; the texts are read again and the rows that go are
-    taken out, by broadcast if they are few enough.
+    Documents are in one group if their fingerprints are linked, or if their sets of
+    ``SHINGLE``-word shingles are similar (Jaccard) by ``least`` or more. The fingerprint's
+    bits alone do not find the latter, so shingles have bands of their own (see the README).
+    Only fingerprints, bands and row names move; the texts are read again and the rows that
+    go are taken out, by broadcast if they are few enough.
     """
     held = with_rows(docs, "near_input")
     found = stage(groups(held, F.col("_row")).select("root", "doc_id", "_row"), "near_found")
+    bands = held.select("_row", _banded(text_of()).alias("keys"), F.monotonically_increasing_id().alias("rid"))
+    bands = stage(bands, "near_bands")
+    rows = stage(found.join(bands.select("_row", "rid"), "_row"), "near_rows")
+    leads = rows.groupBy("root").agg(F.min("rid").alias("a"), F.count("*").alias("n")).where("n > 1").select("root", "a")
+    prints = rows.join(stage(leads, "near_leads"), "root").select("a", F.col("rid").alias("b"))
+    joined = components(prints.unionByName(similar_links(held, bands, least)))
+    grouped = stage(rows.join(joined.withColumnRenamed("node", "rid").withColumnRenamed("root", "group"), "rid"), "near_grouped")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    best = found.groupBy("root").agg(F.min(order)["_row"].alias("_best"), F.count("*").alias("_n")).where("_n > 1")
-    gone = found.join(stage(best, "near_best"), "root").where("_row <> _best").select("_row")
+    best = grouped.groupBy("group").agg(F.min(order)["_row"].alias("_best"))
+    gone = grouped.join(stage(best, "near_best"), "group").where("_row <> _best").select("_row")
     return held.join(stage(gone, "near_gone"), "_row", "left_anti").drop("_row")

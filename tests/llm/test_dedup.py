@@ -114,3 +114,34 @@ def test_block_names_are_exact(spark, edge, empty):
     assert len(rows) == 12 and sum(r.kept for r in rows) == 9
     assert [r.keep_id for r in rows if r.doc_id in (3, 4)] == [4, 4]
     assert exact.exact_groups(empty).count() == 0
+
+
+def test_near_copies_are_found_at_the_similarity(spark):
+    """Pairs at 0.8 to 0.95 by five-word shingles: at least nine in ten; below 0.75 none."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(5000)]
+    rows, want = [], []
+    for n in range(400):
+        text = list(rng.choice(words, int(rng.integers(60, 400))))
+        copy = list(text)
+        changed = rng.choice(len(text), max(1, int(len(text) * rng.uniform(0.002, 0.06))), replace=False)
+        for i in changed:
+            copy[i] = "changed"
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (text, copy))
+        want.append(len(a & b) / len(a | b))
+        rows += [(2 * n, " ".join(text)), (2 * n + 1, " ".join(copy))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * n in kept for n in range(400))
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.0)):
+        some = [2 * n + 1 not in kept for n, j in enumerate(want) if low <= j < high]
+        assert len(some) > 20 and np.mean(some) >= 0.9, (low, len(some), np.mean(some))
+    assert np.mean([2 * n + 1 in kept for n, j in enumerate(want) if j < 0.8]) > 0.9
+
+
+def test_groups_of_near_copies_stay_linear(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:150] + [f"x{i}"] + base[150:])) for i in range(1500)] + [(5000 + i, "same text " * 30) for i in range(1500)]
+    held = simhash.with_rows(spark.createDataFrame(rows, "doc_id long, text string"), "x")
+    bands = stage(held.select("_row", simhash._banded("text").alias("keys"), F.monotonically_increasing_id().alias("rid")), "bands")
+    assert simhash.similar_links(held, bands).count() < 3000 * 13
+    assert sorted(r.doc_id for r in simhash.keep_one(held.drop("_row")).collect()) == [0, 5000]
