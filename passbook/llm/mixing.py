@@ -42,7 +42,8 @@ def targets(sized: DataFrame) -> DataFrame:
     ranked = running(
         sums, [], [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")}, "mix_ranks"
     )
-    cycle = F.array(*(F.lit(w) for w in WEIGHT_CYCLE))
+    # Long, as a weight is multiplied by sums of words.
+    cycle = F.array(*(F.lit(w).cast("long") for w in WEIGHT_CYCLE))
     weighed = stage(
         ranked.withColumn("weight", F.get(cycle, ((F.col("rank") - 1) % len(WEIGHT_CYCLE)).cast("int")))
         .withColumn("most", F.col("source_size") * MOST_PASSES),

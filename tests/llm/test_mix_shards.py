@@ -40,6 +40,13 @@ def test_targets_and_words(spark, edge, empty):
     assert mixing.digest(mixing.mix(empty)).count() == 0
 
 
+def test_targets_of_many_words(spark):
+    """The sums of words fit 32 bits, their products with a weight do not."""
+    sized = spark.createDataFrame([(s, 500_000_000) for s in "abc"], "source string, size long")
+    rows = {r.source: r.target for r in mixing.targets(sized).collect()}
+    assert rows == {"a": 250_000_000.0, "b": 500_000_000.0, "c": 750_000_000.0}
+
+
 def test_mixed_documents_have_the_words_taken(spark, sf, edge, empty):
     held = stage(edge, "edge")
     want = sum(r.taken for r in mixing.digest(mixing.mix(held)).collect())
