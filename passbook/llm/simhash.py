@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from passbook.llm.common import text_of, with_rows
 from passbook.llm.graph import components
-from passbook.session import small_side, stage
+from passbook.session import lookup_side, stage
 
 WORDS = 4
 SEED = 42
@@ -142,7 +142,7 @@ def links(nodes: DataFrame, node: str, blocks: int | None = None, radius: int =
     keys = F.array(*(F.col(node).bitwiseAND(F.lit(m)) for m in masks(blocks, radius)))
     keyed = nodes.select(F.col(node).alias("fp"), F.posexplode(keys).alias("choice", "key"))
     shared = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(shared, ["choice", "key"])
+    met = keyed.join(lookup_side(stage(shared, "fp_keys")), ["choice", "key"])
     chunks = F.ceil(F.col("n") / CELL).cast("int")
     mine = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     grid = met.select("choice", "key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
@@ -227,11 +227,12 @@ def similar_links(held: DataFrame, rows: DataFrame, least: float = SIMILARITY) -
     copies = named.join(nodes.select("k1", "k2", F.col("rid").alias("lead")), ["k1", "k2"]).where("rid <> lead")
     banded = nodes.select("rid", F.posexplode(F.slice("keys", 1, BANDS)).alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rid").alias("lead")).where("n > 1")
+    shared = lookup_side(stage(shared, "near_bands_shared"))
     pairs = banded.join(shared, ["band", "key"]).where("rid <> lead").select(F.col("lead").alias("a"), F.col("rid").alias("b"))
     pairs = stage(pairs.distinct(), "near_pairs")
-    some = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    some = lookup_side(stage(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near_some"))
     some = stage(nodes.join(some, "rid", "left_semi").select("rid", "_row"), "near_partners")
-    sets = stage(held.join(small_side(some), "_row").select("rid", _shingle_sets(text_of()).alias("set")), "near_sets")
+    sets = stage(held.join(lookup_side(some), "_row").select("rid", _shingle_sets(text_of()).alias("set")), "near_sets")
     left, right = (sets.select(F.col("rid").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     close = both >= least * (F.size("sa") + F.size("sb") - both) - 1e-9

@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from passbook.llm import exact, simhash
-from passbook.session import stage
+from passbook.session import lookup_side, stage
 
 
 def slow_fingerprint(text):
@@ -145,3 +145,14 @@ def test_groups_of_near_copies_stay_linear(spark):
     bands = stage(held.select("_row", simhash._banded("text").alias("keys"), F.monotonically_increasing_id().alias("rid")), "bands")
     assert simhash.similar_links(held, bands).count() < 3000 * 13
     assert sorted(r.doc_id for r in simhash.keep_one(held.drop("_row")).collect()) == [0, 5000]
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """The optimizer sizes keys after an explode as low as the nodes; the shared ones alone may be broadcast."""
+    nodes = stage(spark.range(20_000).select(F.xxhash64("id").alias("fp")), "many_nodes")
+    plan = str(simhash.links(nodes, "fp")._jdf.queryExecution().executedPlan())
+    assert "BuildLeft" not in plan
+    few = stage(spark.range(10), "few_rows")
+    for most, how in ((64 << 20, "BroadcastHashJoin"), (100, "SortMergeJoin")):
+        met = spark.range(1000).join(lookup_side(few, most), "id")
+        assert how in str(met._jdf.queryExecution().executedPlan()) and met.count() == 10
