@@ -1,4 +1,6 @@
+import random
 import re
+from itertools import combinations
 
 from passbook.llm import decontaminate, lines, threads
 from passbook.llm.common import table
@@ -101,6 +103,53 @@ def test_short_lines_at_one_edit_are_all_linked(spark):
     assert {r.doc_id: r.kept_lines for r in lines.dedup_lines(docs).collect()} == want
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_longer_lines_are_linked_as_by_all_pairs(spark):
+    """Random lines of 10 to 60 words with random edits, near and beyond the similarity."""
+    rng = random.Random(7)
+    words = ["a", "of", "the"] * 40 + ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(200)]
+    texts = []
+    for n in [10, 11, 13, 14, 15, 19, 20, 24, 30, 45, 60] * 6:
+        line = rng.choices(words, k=n)
+        texts.append(line)
+        for share in (0.05, 0.15, 0.2, 0.3):
+            copy = list(line)
+            for _ in range(max(1, int(share * n + 1e-9))):
+                at, how = rng.randrange(len(copy)), rng.choice("sssdi")
+                copy[at : at + (how != "i")] = [] if how == "d" else [rng.choice(words)]
+            texts.append(copy)
+    texts.append([*texts[-5][1:], "moved"])
+    alike = {i: {i} for i in range(len(texts))}
+    for i, j in combinations(range(len(texts)), 2):
+        a, b = texts[i], texts[j]
+        if alike[i] is not alike[j] and word_edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            alike[i] |= alike[j]
+            for k in alike[j]:
+                alike[k] = alike[i]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.kept_lines for r in lines.dedup_lines(docs).collect()}
+    assert got == {i: int(i == min(alike[i])) for i in range(len(texts))}
+    assert 60 < sum(got.values()) < 250
+
+
+def test_crowded_pairs_of_words_are_dealt_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(lines, "CELL", 4)
+    name = lambda *at: "".join("bcdfghklmnprst"[i // 7 % 14] + "aeiouyw"[i % 7] for i in at)
+    base = [f"wordword{name(i)}" for i in range(20)]
+    rows = [(i, " ".join([*base[:8], name(1, i), name(2, i), *base[10:14], name(3, i), *base[15:]])) for i in range(40)]
+    rows += [(100 + i, " ".join([*base[:3], *(name(50 + i, j) for j in range(15))])) for i in range(10)] + rows[:5]
+    got = {r.doc_id: r.kept_lines for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: int(d == 0 or d >= 100) for d, _ in rows}
+
+
 def test_exact_lines_of_the_table(spark, sf):
     docs = table(spark, sf, "documents")
     seen, want = set(), {}
